@@ -1,0 +1,135 @@
+"""Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
+
+(McMahan et al., "Ad Click Prediction", 2013.) Each coordinate has its own rate, and L1 keeps all
+but the telling ones at zero. Training sees a bounded, documented sample of the labelled rows
+(``SAMPLE_ROWS``, chosen by hash), dealt to ``SHARDS`` tasks that each make one online pass; their
+sparse weights are averaged (parameter mixing). The weights are bounded by ``2 ** BITS`` entries
+whatever the corpus, so they are broadcast; scoring is one pass over whole texts with no shuffle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from nearkey.llm.shared import Names, documents, id_and_text, mix, text_chunks
+
+BITS = 20
+#: The bound of the training sample, in rows.
+SAMPLE_ROWS = 16_000
+#: One pass over the bounded sample; more shards train side by side, at some recall (README).
+SHARDS = 1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1.0
+THRESHOLD = 0.3
+
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def features(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, index)`` of every unigram, bigram and one-word skip-gram of the texts, with repeats."""
+    inside = np.zeros(len(buffer) + 2, bool)
+    inside[1:-1] = _WORD[buffer]
+    edge = np.zeros(len(buffer) + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+    row = np.searchsorted(offsets, start, "right") - 1
+    word = Names(_LOWER[buffer]).of(start, end)
+    rows, names = [row], [word]
+    for step, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
+        same = np.flatnonzero(row[step:] == row[:-step]) if len(row) > step else np.zeros(0, np.int64)
+        rows.append(row[same])
+        names.append(mix(word[same] * np.uint64(odd) + (word[same + step] >> np.uint64(1))))
+    return np.concatenate(rows), (np.concatenate(names) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+class Ftrl:
+    def __init__(self, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)  # the last is the intercept
+
+    def weights(self, at: np.ndarray | slice) -> np.ndarray:
+        z, n = self.z[at], self.n[at]
+        shrunk = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0)
+        return -shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
+
+    def learn(self, at: np.ndarray, label: float) -> None:
+        """One step on the row whose features are ``at`` (each once, the intercept with them)."""
+        w = self.weights(at)
+        g = sigmoid(w.sum()) - label
+        n = self.n[at]
+        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[at] = n + g * g
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def held_out(doc_id) -> F.Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sparse weights ``(index, weight, intercept)`` from ``labels(doc_id, toxic)``.
+
+    Rows with a null doc_id or label are not learnt from; of several labels of a document the
+    largest counts. The sample (ids and labels only) has at most ``sample_rows`` rows.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).alias("shard"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: dict[int, Ftrl] = {}
+        for batch in batches:
+            for part, buffer, offsets in text_chunks(batch, "text"):
+                row, index = features(buffer, offsets)
+                pair = np.unique(row * np.int64(2**BITS) + index)
+                row, index = pair >> BITS, pair & (2**BITS - 1)
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                for i, (shard, label) in enumerate(zip(part.column("shard").to_pylist(), part.column("label").to_pylist())):
+                    models.setdefault(shard, Ftrl()).learn(np.r_[index[cut[i] : cut[i + 1]], 2**BITS], float(label > 0))
+        for model in models.values():
+            w = model.weights(slice(None))
+            at = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
+
+    learnt = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(11)), "doc_id").mapInArrow(run, "at long, w double")
+    mean = learnt.groupBy("at").agg((F.sum("w") / shards).alias("w")).orderBy("at").toArrow()
+    at, w = mean.column("at").to_numpy(), mean.column("w").to_numpy()
+    return at[at < 2**BITS], w[at < 2**BITS], float(w[at == 2**BITS].sum())
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry`` columns and ``score`` per row; an empty or null text scores as the intercept does."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w, intercept = shared.value
+        weights = np.zeros(2**BITS)
+        weights[at] = w
+        for batch in batches:
+            for part, buffer, offsets in text_chunks(batch, "_text"):
+                row, index = features(buffer, offsets)
+                told = weights[index] != 0
+                pair = np.unique(row[told] * np.int64(2**BITS) + index[told])
+                total = np.bincount(pair >> BITS, weights[pair & (2**BITS - 1)], part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + [pa.array(sigmoid(total + intercept))], [*carry, "score"])
+
+    return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", score double")
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
