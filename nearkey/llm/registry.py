@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from nearkey.llm import mixing, packing, secrets, simhash, toxicity
+from nearkey.llm import line_dedup, mixing, neighbours, packing, secrets, simhash, suffix_dedup, toxicity, vector_dedup, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op2_nearest": neighbours.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_toxicity": toxicity.query,
     "op5_mixing": mixing.query,
+    "op6_warc": warc.query,
+    "op7_vector_dedup": vector_dedup.query,
     "op8_secret_scan": secrets.query,
     "op9_best_fit_packing": packing.query,
     "op10_simhash": simhash.query,
 }
 
 ORACLE_SQL = {
+    "op2_nearest": neighbours.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op6_warc": warc.ORACLE,
 }

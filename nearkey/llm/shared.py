@@ -116,3 +116,32 @@ class Names:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         lengths = (end - start).astype(np.uint64)
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + lengths * np.uint64(0xD6E8FEB86659FD93))
+
+
+# --- groups of a sorted stream ---------------------------------------------------------------
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal ``keys`` (integers, no nulls) of a stream sorted by them, across batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -1,0 +1,214 @@
+"""Exact substring dedup: every byte under a string of ``length`` bytes that also starts elsewhere.
+
+Prefix doubling ranks positions by ever longer strings: rows (rank, position) are grouped by the
+rank of what they have matched so far and of what follows it, get new ranks, and leave when they are unique or
+past the threshold. Ranking every byte needs some 16 bytes a byte of text and round, so this is
+its sparse form. A window of ``length`` bytes is represented by its anchor, the start of the
+``GRAM``-byte string in it whose name is least (a choice that only the window's own bytes decide, so
+equal windows have equal anchors); neighbouring windows of one anchor are one row:
+
+* the rank of the anchor's gram is the first rank; rows whose rank is unique leave;
+* rows with equal rank and an equal string under all their windows are past the threshold: all
+  their windows are repeated, and they leave as spans;
+* the others are cut into blocks of windows and ranked again by longer strings (what all windows
+  of a block share: ``GRAM`` bytes, then ``length`` - 15, - 3, and at last ``length``), until nothing is left.
+
+Ranks are 64-bit names (polynomials by prefix sums) compared only within equal gram ranks.
+Documents are named by a hash of id and text, so null or repeated ids do no harm.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from nearkey.llm.shared import Names, documents, materialised, mix, text_chunks
+
+LENGTH = 200
+GRAM = 64
+BLOCKS = (16, 4, 1)
+SEGMENT = 1 << 20
+_LOW = np.uint64((1 << 28) - 1)
+
+
+def _least_over(values: np.ndarray, width: int) -> np.ndarray:
+    """Minima of all runs of ``width`` values."""
+    have = 1
+    while 2 * have <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    more = width - have
+    return np.minimum(values[: len(values) - more], values[more:]) if more else values
+
+
+def anchors(buffer: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """``(row, anchor, first, last, rank, whole)``: runs of windows with one anchor.
+
+    Positions count from the row's start; ``first`` and ``last`` are the starts of the run's first and last windows;
+    ``rank`` names the gram, ``whole`` the string under all windows of the run.
+    """
+    empty = np.zeros(0, np.int64)
+    if len(buffer) < length:
+        return (empty,) * 4 + (empty.view(np.uint64),) * 2
+    names = Names(buffer)
+    at = np.arange(len(buffer) - gram + 1)
+    ranks = names.of(at, at + gram)
+    least = _least_over((ranks & ~_LOW) | at.astype(np.uint64), length - gram + 1)
+    anchor = (least & _LOW).astype(np.int64)
+    start = np.arange(len(anchor))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(start)]
+    good = start + length <= offsets[1:][row]
+    start, anchor, row = start[good], anchor[good], row[good]
+    if not len(start):
+        return (empty,) * 4 + (empty.view(np.uint64),) * 2
+    cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
+    first, last = start[cut], start[np.r_[cut[1:] - 1, len(start) - 1]]
+    row, anchor = row[cut], anchor[cut]
+    return row, anchor - offsets[row], first - offsets[row], last - offsets[row], ranks[anchor], names.of(first, last + length)
+
+
+def _segments(buffer: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The chunk itself, or overlapping parts of a single long text: each window is in one part."""
+    if len(buffer) <= 4 * SEGMENT:
+        yield buffer, offsets, 0
+        return
+    for at in range(0, len(buffer) - length + 1, SEGMENT):
+        part = buffer[at : at + SEGMENT + length - 1]
+        yield part, np.array([0, len(part)]), at
+
+
+def anchor_rows(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``(rank, whole, doc, at, lo, hi)``; ``lo`` and ``hi`` are the distances from window start to anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buffer, offsets in text_chunks(batch, "text", SEGMENT):
+                doc = part.column("doc").to_numpy()
+                for piece, cuts, base in _segments(buffer, offsets, length):
+                    row, anchor, first, last, rank, whole = anchors(piece, cuts, length, gram)
+                    arrays = [rank.view(np.int64), whole.view(np.int64), doc[row], (anchor + base).astype(np.int32), (anchor - last).astype(np.int32), (anchor - first).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rank", "whole", "doc", "at", "lo", "hi"])
+
+    return named.select("doc", "text").mapInArrow(run, "rank long, whole long, doc long, at int, lo int, hi int")
+
+
+def contexts(named: DataFrame, left: DataFrame, length: int) -> DataFrame:
+    """``(doc, at, lo, hi, rank, bytes)``: the string under the windows of the rows ``left``."""
+    wanted = left.groupBy("doc").agg(F.collect_list(F.struct("at", "lo", "hi", "rank")).alias("wanted"))
+    joined = named.select("doc", "text").join(wanted, "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buffer, offsets in text_chunks(batch, "text"):
+                data = buffer.tobytes()
+                lists = part.column("wanted")
+                n = np.asarray(lists.value_lengths())
+                row, flat = np.repeat(np.arange(part.num_rows), n), lists.flatten()
+                at, lo, hi = (flat.field(c).to_numpy() for c in ("at", "lo", "hi"))
+                start, end = offsets[row] + at - hi, offsets[row] + at - lo + length
+                arrays = [pa.array(part.column("doc").to_numpy()[row]), pa.array(at), pa.array(lo), pa.array(hi), flat.field("rank"), pa.array([data[a:b] for a, b in zip(start, end)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc", "at", "lo", "hi", "rank", "bytes"])
+
+    return joined.mapInArrow(run, "doc long, at int, lo int, hi int, rank long, bytes binary")
+
+
+def block_rows(rows: DataFrame, size: int, length: int, gram: int) -> DataFrame:
+    """Rows ``(doc, at, lo, hi, rank, from, to, bytes)`` cut into aligned blocks of ``size`` windows.
+
+    ``bytes`` lies under the windows ``from .. to``, of which ``lo .. hi`` are asked for. ``inner``
+    names what all windows of the (whole) block share, ``whole`` what lies under those asked for.
+    """
+    most = length - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buffer, offsets in text_chunks(batch, "bytes", SEGMENT):
+                at, lo, hi, far = (part.column(c).to_numpy() for c in ("at", "lo", "hi", "to"))
+                n = hi // size - lo // size + 1
+                row = np.repeat(np.arange(len(n)), n)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + (lo // size)[row]
+                first, last = np.maximum(block * size, lo[row]), np.minimum(block * size + size - 1, hi[row])
+                zero = offsets[row] + far[row]  # where the anchor is in the buffer
+                names = Names(buffer)
+                inner = names.of(zero - block * size, zero - np.minimum(block * size + size - 1, most) + length)
+                whole = names.of(zero - last, zero - first + length)
+                inner = mix(inner + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                whole = mix(whole + (first * 256 + last).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                arrays = [part.column("rank").to_numpy()[row], inner.view(np.int64), whole.view(np.int64), part.column("doc").to_numpy()[row], at[row], first.astype(np.int32), last.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rank", "inner", "whole", "doc", "at", "lo", "hi"])
+
+    return rows.select("doc", "at", "lo", "hi", "rank", "to", "bytes").mapInArrow(run, "rank long, inner long, whole long, doc long, at int, lo int, hi int")
+
+
+def _more_than_once(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``(doc, start, end)``: bytes under windows that start more than once; spans may overlap."""
+    rows = anchor_rows(named, length, gram)
+    live = materialised(rows.join(_more_than_once(rows, "rank"), "rank", "left_semi"), "ranked")
+    keys = ["rank", "whole", "lo", "hi"]
+    past = _more_than_once(live, *keys).withColumn("past", F.lit(True))
+    told = materialised(live.join(past, keys, "left").select("doc", "at", "lo", "hi", "rank", F.coalesce("past", F.lit(False)).alias("past")), "told")
+    span = [F.col("doc"), (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end")]
+    spans = told.where("past").select(*span)
+    text = materialised(contexts(named, told.where("not past"), length).withColumn("to", F.col("hi")), "contexts")
+    rows = text
+    for size in BLOCKS:
+        cut = materialised(block_rows(rows, size, length, gram), f"blocks{size}")
+        past = _more_than_once(cut, "rank", "whole", "lo", "hi").withColumn("past", F.lit(True))
+        if size == 1:
+            spans = spans.unionByName(cut.join(past, ["rank", "whole", "lo", "hi"], "left_semi").select(*span))
+            break
+        shared = _more_than_once(cut, "rank", "inner")
+        told = materialised(cut.join(shared, ["rank", "inner"], "left_semi").join(past, ["rank", "whole", "lo", "hi"], "left"), f"told{size}")
+        spans = spans.unionByName(told.where("past").select(*span))
+        again = told.where("past is null").select("doc", "at", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).distinct()
+        rows = text.join(again, ["doc", "at"]).where("lo2 between lo and hi").select("doc", "at", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "rank", "to", "bytes")
+    return spans
+
+
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry``, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (byte offsets) and ``kept`` (binary) per row.
+
+    A null text is empty; texts shorter than ``length`` bytes keep all; doc_id may be null or
+    repeated; an empty table gives no rows.
+    """
+    named = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64(*carry, "text"))
+    spans = repeated_spans(named, length, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    kinds = dict(named.dtypes)
+    joined = named.join(spans, "doc", "left").select(*carry, "text", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buffer, offsets in text_chunks(batch, "text"):
+                out: list[list] = [[] for _ in range(5)]
+                for i, found in enumerate(part.column("found")):
+                    text = buffer[offsets[i] : offsets[i + 1]]
+                    spans, kept = np.zeros((0, 2), np.int64), text
+                    if found.is_valid:
+                        flat = found.values
+                        change = np.zeros(len(text) + 1, np.int64)
+                        np.add.at(change, flat.field("start").to_numpy(), 1)
+                        np.add.at(change, flat.field("end").to_numpy(), -1)
+                        gone = np.cumsum(change)[:-1] > 0
+                        edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+                        spans, kept = edges.reshape(-1, 2), text[~gone]
+                    for x, v in zip(out, (len(text), len(text) - len(kept), len(spans), spans.tolist(), kept.tobytes())):
+                        x.append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+                arrays = [part.column(c) for c in carry] + [pa.array(x, k) for x, k in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, [*carry, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary"
+    return joined.mapInArrow(run, schema)
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    found = remove_repeated(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
