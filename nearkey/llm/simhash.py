@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, tile:
     component = connected_components(links(reps.select(F.col("fp").alias("node"), "fp"), radius, tile))
     named = reps.join(component.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return found.join(named.join(least, "component").select("fp", "component_id"), "fp")
+    return found.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ equal windows have equal anchors); neighbouring windows of one anchor are one ro
 
 * the rank of the anchor's gram is the first rank; rows whose rank is unique leave;
 * rows with equal rank and an equal string under all their windows are past the threshold: all
-  their windows are repeated, and they leave as spans;
+  their windows are repeated, and they leave as spans (one of them stays as a partner of others);
 * the others are cut into blocks of windows and ranked again by longer strings (what all windows
   of a block share: ``GRAM`` bytes, then ``length`` - 15, - 3, and at last ``length``), until nothing is left.
 
@@ -33,6 +33,7 @@ GRAM = 64
 BLOCKS = (16, 4, 1)
 SEGMENT = 1 << 20
 _LOW = np.uint64((1 << 28) - 1)
+_SPAN = ("doc", "at - hi as start", "at - lo as end")
 
 
 def _least_over(values: np.ndarray, width: int) -> np.ndarray:
@@ -97,8 +98,8 @@ def anchor_rows(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
 
 def contexts(named: DataFrame, left: DataFrame, length: int) -> DataFrame:
-    """``(doc, at, lo, hi, rank, bytes)``: the string under the windows of the rows ``left``."""
-    wanted = left.groupBy("doc").agg(F.collect_list(F.struct("at", "lo", "hi", "rank")).alias("wanted"))
+    """``(doc, at, lo, hi, rank, settled, bytes)``: the string under the windows of the rows ``left``."""
+    wanted = left.groupBy("doc").agg(F.collect_list(F.struct("at", "lo", "hi", "rank", "settled")).alias("wanted"))
     joined = named.select("doc", "text").join(wanted, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +111,16 @@ def contexts(named: DataFrame, left: DataFrame, length: int) -> DataFrame:
                 row, flat = np.repeat(np.arange(part.num_rows), n), lists.flatten()
                 at, lo, hi = (flat.field(c).to_numpy() for c in ("at", "lo", "hi"))
                 start, end = offsets[row] + at - hi, offsets[row] + at - lo + length
-                arrays = [pa.array(part.column("doc").to_numpy()[row]), pa.array(at), pa.array(lo), pa.array(hi), flat.field("rank"), pa.array([data[a:b] for a, b in zip(start, end)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "at", "lo", "hi", "rank", "bytes"])
+                arrays = [pa.array(part.column("doc").to_numpy()[row]), pa.array(at), pa.array(lo), pa.array(hi), flat.field("rank"), flat.field("settled"), pa.array([data[a:b] for a, b in zip(start, end)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc", "at", "lo", "hi", "rank", "settled", "bytes"])
 
-    return joined.mapInArrow(run, "doc long, at int, lo int, hi int, rank long, bytes binary")
+    return joined.mapInArrow(run, "doc long, at int, lo int, hi int, rank long, settled boolean, bytes binary")
 
 
 def block_rows(rows: DataFrame, size: int, length: int, gram: int) -> DataFrame:
-    """Rows ``(doc, at, lo, hi, rank, from, to, bytes)`` cut into aligned blocks of ``size`` windows.
+    """Rows ``(doc, at, lo, hi, rank, settled, to, bytes)`` cut into aligned blocks of ``size`` windows.
 
-    ``bytes`` lies under the windows ``from .. to``, of which ``lo .. hi`` are asked for. ``inner``
+    ``bytes`` ends the windows up to distance ``to`` from the anchor, of which ``lo .. hi`` are asked for. ``inner``
     names what all windows of the (whole) block share, ``whole`` what lies under those asked for.
     """
     most = length - gram
@@ -138,39 +139,43 @@ def block_rows(rows: DataFrame, size: int, length: int, gram: int) -> DataFrame:
                 whole = names.of(zero - last, zero - first + length)
                 inner = mix(inner + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 whole = mix(whole + (first * 256 + last).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                arrays = [part.column("rank").to_numpy()[row], inner.view(np.int64), whole.view(np.int64), part.column("doc").to_numpy()[row], at[row], first.astype(np.int32), last.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rank", "inner", "whole", "doc", "at", "lo", "hi"])
+                arrays = [part.column("rank").to_numpy()[row], inner.view(np.int64), whole.view(np.int64), part.column("doc").to_numpy()[row], at[row], first.astype(np.int32), last.astype(np.int32), part.column("settled").to_numpy(zero_copy_only=False)[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rank", "inner", "whole", "doc", "at", "lo", "hi", "settled"])
 
-    return rows.select("doc", "at", "lo", "hi", "rank", "to", "bytes").mapInArrow(run, "rank long, inner long, whole long, doc long, at int, lo int, hi int")
+    schema = "rank long, inner long, whole long, doc long, at int, lo int, hi int, settled boolean"
+    return rows.select("doc", "at", "lo", "hi", "rank", "settled", "to", "bytes").mapInArrow(run, schema)
 
 
-def _more_than_once(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+def _rerank(rows: DataFrame, group: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """One round over ``rows``: those past the threshold, and those to rank again.
+
+    Rows of equal (rank, whole, lo, hi) lie under equal windows. Where there are several, all are
+    past, and one stays as a settled partner for rows that share only some of its windows. Of what
+    stays, only ``group``s go on that still hold two rows and one that is not settled.
+    """
+    keys = ["rank", "whole", "lo", "hi"]
+    equal = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
+    told = materialised(rows.join(equal, keys), name)
+    stay = told.where(F.expr("n = 1 or struct(doc, at) = first")).withColumn("settled", F.expr("settled or n > 1"))
+    going = stay.groupBy(*group).agg(F.count("*").alias("n"), F.bool_and("settled").alias("idle")).where("n > 1 and not idle").drop("n", "idle")
+    return told.where("n > 1 and not settled"), stay.join(going, group, "left_semi").select("doc", "at", "lo", "hi", "rank", "settled")
 
 
 def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(doc, start, end)``: bytes under windows that start more than once; spans may overlap."""
     rows = anchor_rows(named, length, gram)
-    live = materialised(rows.join(_more_than_once(rows, "rank"), "rank", "left_semi"), "ranked")
-    keys = ["rank", "whole", "lo", "hi"]
-    past = _more_than_once(live, *keys).withColumn("past", F.lit(True))
-    told = materialised(live.join(past, keys, "left").select("doc", "at", "lo", "hi", "rank", F.coalesce("past", F.lit(False)).alias("past")), "told")
-    span = [F.col("doc"), (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end")]
-    spans = told.where("past").select(*span)
-    text = materialised(contexts(named, told.where("not past"), length).withColumn("to", F.col("hi")), "contexts")
-    rows = text
+    twice = rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    live = rows.join(twice, "rank", "left_semi").withColumn("settled", F.lit(False))
+    past, again = _rerank(live, ["rank"], "ranked")
+    spans = past.selectExpr(*_SPAN, f"{length} as length")
+    text = rows = materialised(contexts(named, again, length).withColumn("to", F.col("hi")), "contexts")
     for size in BLOCKS:
-        cut = materialised(block_rows(rows, size, length, gram), f"blocks{size}")
-        past = _more_than_once(cut, "rank", "whole", "lo", "hi").withColumn("past", F.lit(True))
-        if size == 1:
-            spans = spans.unionByName(cut.join(past, ["rank", "whole", "lo", "hi"], "left_semi").select(*span))
-            break
-        shared = _more_than_once(cut, "rank", "inner")
-        told = materialised(cut.join(shared, ["rank", "inner"], "left_semi").join(past, ["rank", "whole", "lo", "hi"], "left"), f"told{size}")
-        spans = spans.unionByName(told.where("past").select(*span))
-        again = told.where("past is null").select("doc", "at", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).distinct()
-        rows = text.join(again, ["doc", "at"]).where("lo2 between lo and hi").select("doc", "at", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "rank", "to", "bytes")
-    return spans
+        past, again = _rerank(block_rows(rows, size, length, gram), ["rank", "inner"], f"blocks{size}")
+        spans = spans.unionByName(past.selectExpr(*_SPAN, f"{length} as length"))
+        if size > 1:
+            part = again.select("doc", "at", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("settled").alias("settled2")).distinct()
+            rows = text.join(part, ["doc", "at"]).where("lo2 between lo and hi").select("doc", "at", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "rank", F.col("settled2").alias("settled"), "to", "bytes")
+    return spans.select("doc", "start", (F.col("end") + F.col("length")).alias("end"))
 
 
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
