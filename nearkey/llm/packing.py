@@ -14,6 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +26,23 @@ from nearkey.llm.shared import documents, id_and_text, materialised, text_chunks
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; the cache is emptied when full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 #: Rows of one length that one task ranks, about.
 RANK_ROWS = 250_000
 
-_PLAIN = [chr(c) for c in range(0x250)]  # no combining marks: such text is its own NFC form
+_PLAIN = [chr(c) for c in range(0x180)]  # no combining marks: such text is its own NFC form
 _LETTERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "N")
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0"
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-_NOT_PLAIN = re.compile("[^\x00-ɏ]|<\\|")
+_PIECES = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_NOT_PLAIN = re.compile("[^\x00-\u017f]")
 
 
 class WordEncoder:
     """Ids as the tokenizer file gives them, as little-endian 32-bit bytes.
 
     The tokenizer merges inside words only, so for texts of Latin letters (code points below
-    U+0250, no special token in them) its ids are those of the words one by one; the words come
+    U+0180, no special token in them) its ids are those of the words one by one; the words come
     from the pattern that the file states, and each different word is encoded once by the
     tokenizer itself. All other texts go to the tokenizer whole.
     """
@@ -50,23 +51,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: encoded as one text, which the tokens that end words cut again."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._ids(words)
+        data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         words: dict[int, list[str]] = {}
         other = []
         for i, text in enumerate(texts):
-            if _NOT_PLAIN.search(text):
-                other.append(i)
-            else:
+            if _plain(text):
                 words[i] = _PIECES.findall(text.lower())
+            else:
+                other.append(i)
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        new = list({w for x in words.values() for w in x}.difference(self.known))
-        self.known.update(zip(new, self._ids(new)))
+        new = list(set(chain.from_iterable(words.values())).difference(self.known))
+        self.known.update(zip(new, self._words(new)))
         for i, x in words.items():
             out[i] = b"".join(map(self.known.__getitem__, x))
         for i, ids in zip(other, self._ids([texts[i] for i in other])):
@@ -74,6 +87,16 @@ class WordEncoder:
         return out
 
 
+def _plain(text: str) -> bool:
+    if "<|" in text:  # may be a special token
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _NOT_PLAIN.search(text)
+    return True
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
