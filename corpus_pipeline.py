@@ -43,12 +43,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    slim = materialised(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
-    weighted = mixing.quality_weight(slim, _labels(spark, sf_dir))
-    mixed = mixing.mix(weighted, F.col("draw_weight"), F.col("size"))
-    times = mixed.where("times > 0").select(F.col("doc_id").alias("_id"), "times").distinct()
-    taken = docs.join(times, F.expr("doc_id <=> _id"))
+    """Documents as often as the mix takes them; rows equal in id, source and text are drawn together.
+
+    The mix runs on sizes alone; texts are shuffled once, to meet the number of their copies.
+    """
+    key = ["doc_id", "source", "_text"]
+    named = docs.withColumn("_text", F.xxhash64("text"))
+    slim = materialised(named.select(*key, mixing.word_count(F.col("text")).alias("size")), "sizes")
+    weighted = mixing.quality_weight(slim.groupBy(*key).agg(F.sum("size").alias("size")), _labels(spark, sf_dir))
+    mixed = mixing.mix(weighted, F.col("draw_weight"), F.col("size")).where("times > 0")
+    times = mixed.select(*[F.col(c).alias(f"_{c}") for c in key], "times")
+    taken = named.join(times, F.expr("doc_id <=> _doc_id and source <=> _source and _text <=> __text"))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 

@@ -1,0 +1,117 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+from nearkey.llm import mixing, packing, secrets, toxicity
+
+import __spark_entry__ as entry
+import corpus_pipeline
+
+from .conftest import SF
+from .test_packing_mixing import PATH
+from .test_scans import plain_spans
+from .test_text_dedup import plain_components, plain_fingerprint
+
+
+def table(df):
+    key = lambda r: [(x is not None, x) for x in r]
+    return sorted((tuple(r) for r in df.collect()), key=key)
+
+
+def through(spark, docs, sf_dir):
+    """The stages one by one, each held against plain Python on its own input."""
+    columns = docs.columns
+    at = {c: i for i, c in enumerate(columns)}
+
+    stage = dict(corpus_pipeline.STAGES)
+    clean = stage["toxicity"](spark, docs, sf_dir)
+    assert clean.columns == columns
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = Counter()
+    for r in toxicity.score(docs, model).collect():
+        score[r["doc_id"]] = max(score[r["doc_id"]], r["score"])
+    kept = [r for r in table(docs) if r[at["doc_id"]] is None or score[r[at["doc_id"]]] < toxicity.THRESHOLD]
+    assert [r for r in table(clean) if r[at["doc_id"]] is not None] == [r for r in kept if r[at["doc_id"]] is not None]
+
+    rows = table(clean)
+    single = stage["simhash"](spark, clean, sf_dir)
+    label = plain_components([plain_fingerprint(r[at["text"]]) for r in rows])
+    least = {}
+    for r, k in zip(rows, label):
+        if r[at["doc_id"]] is not None:
+            least[k] = min(r[at["doc_id"]], least.get(k, r[at["doc_id"]]))
+    want = sorted({r[at["doc_id"]] for r, k in zip(rows, label) if r[at["doc_id"]] == least.get(k)} - {None})
+    assert single.columns == columns
+    assert sorted(r[at["doc_id"]] for r in table(single) if r[at["doc_id"]] is not None) == want
+    assert sum(r[at["doc_id"]] is None for r in table(single)) == sum(r[at["doc_id"]] is None for r in rows)
+
+    safe = stage["secrets"](spark, single, sf_dir)
+    assert safe.columns == columns and safe.count() == single.count()
+    dirty = {r[at["doc_id"]]: r for r in table(single)}
+    for r in table(safe):
+        if r[at["doc_id"]] is not None:
+            before = dirty[r[at["doc_id"]]]
+            if plain_spans(before[at["text"]], secrets.RULES):
+                assert "[secret]" in r[at["text"]] and r[at["n_chars"]] == len(r[at["text"]])
+            else:
+                assert r == before
+
+    mixed = stage["mixing"](spark, safe, sf_dir)
+    assert mixed.columns == columns
+    taken = Counter()
+    for r in mixed.select("source", mixing.word_count(mixed.text).alias("n")).collect():
+        taken[r["source"]] += r["n"]
+    sizes = {r["source"]: r["s"] for r in safe.groupBy("source").agg({"doc_id": "count"}).select("source").withColumn("s", mixing.F.lit(0)).collect()}
+    longest = Counter()
+    for r in safe.select("source", mixing.word_count(safe.text).alias("n")).collect():
+        sizes[r["source"]] += r["n"]
+        longest[r["source"]] = max(longest[r["source"]], r["n"])
+    from .test_packing_mixing import plain_targets
+
+    for s, target in plain_targets(sizes).items():
+        assert abs(taken[s] - target) <= longest[s]
+
+    pieces = stage["packing"](spark, mixed, sf_dir)
+    encoder = packing.WordEncoder(PATH)
+    want = Counter()
+    for r in mixed.select("doc_id", "text").collect():
+        ids = encoder._ids([r["text"] or ""])[0] + b"\0\0\0\0"
+        for k, a in enumerate(range(0, len(ids), 4 * 2048)):
+            cut = ids[a : a + 4 * 2048]
+            want[(r["doc_id"], k, a // 4, len(cut) // 4, zlib.crc32(cut))] += 1
+    assert Counter(tuple(r)[:5] for r in pieces.collect()) == want
+    return pieces
+
+
+def test_pipeline_of_a_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = through(spark, docs, SF)
+    whole = entry.queries()["pipeline"](spark, SF)
+    assert table(whole.drop("sequence_id", "offset")) == table(pieces.drop("sequence_id", "offset"))
+    assert np.isclose(whole.count(), pieces.count())
+
+
+def test_pipeline_of_odd_rows(spark, odd_docs, no_docs):
+    through(spark, odd_docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id <> 1 or doc_id is null"), SF)
+    docs = odd_docs
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() > 0
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
+
+
+def test_entry_imports_without_the_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "nearkey", tmp_path / "nearkey", ignore=lambda d, names: [n for n in names if n in ("llm", "__pycache__")])
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
+    assert said.returncode == 0, said.stderr
+    assert not any(k.startswith("op") for k in entry._core.QUERIES)
