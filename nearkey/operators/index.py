@@ -1,0 +1,91 @@
+"""The derived index: hub postings, trie nodes with preorder intervals, and hub-node positions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from nearkey.functions.text import prefixes
+
+
+def hub_postings(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(hub, vertex, dist, pos)``: labels of keyword vertices by hub, numbered by (dist, vertex)."""
+    kept = labels.join(keywords.select("vertex").distinct(), "vertex", "left_semi")
+    return kept.select("hub", "vertex", "dist", (F.row_number().over(Window.partitionBy("hub").orderBy("dist", "vertex")) - 1).alias("pos"))
+
+
+def trie_nodes(keywords: DataFrame) -> DataFrame:
+    """``(node, depth, words)``: every prefix of the dictionary, the root as the empty string."""
+    words = keywords.select("word").distinct()
+    return words.select(F.explode(prefixes(F.col("word"))).alias("node")).groupBy("node").agg(F.count("*").alias("words")).select("node", F.length("node").alias("depth"), "words")
+
+
+def trie_intervals(keywords: DataFrame) -> DataFrame:
+    """``(node, id, last)``: preorder numbers from 1 and the last number of each subtree.
+
+    Numbering is two-level: within the first letter, after the counts of the letters before; the
+    only unpartitioned window runs over the letters.
+    """
+    nodes = trie_nodes(keywords).select("node", F.substring("node", 1, 1).alias("letter"))
+    counts = nodes.groupBy("letter").count()
+    before = counts.select("letter", F.coalesce(F.sum("count").over(Window.orderBy("letter").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    below = nodes.select(F.explode(prefixes(F.col("node"))).alias("node")).groupBy("node").agg((F.count("*") - 1).alias("below"))
+    number = F.row_number().over(Window.partitionBy("letter").orderBy("node"))
+    numbered = nodes.withColumn("n", number).join(before, "letter").select("node", (F.col("n") + F.col("before")).alias("id"))
+    return numbered.join(below, "node").select("node", "id", (F.col("id") + F.col("below")).alias("last"))
+
+
+def trie_level_index(keywords: DataFrame) -> DataFrame:
+    """``(letter, depth, nodes, first_id, last_id)``: nodes by last letter and depth."""
+    nodes = trie_intervals(keywords).where("node <> ''")
+    return nodes.groupBy(F.substring("node", -1, 1).alias("letter"), F.length("node").alias("depth")).agg(
+        F.count("*").alias("nodes"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+
+
+def hub_node(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(hub, node, pos)``: which postings of a hub have a word below a trie node."""
+    under = keywords.select("vertex", F.explode(prefixes(F.col("word"), with_root=False)).alias("node")).distinct()
+    return hub_postings(labels, keywords).join(under, "vertex").select("hub", "node", "pos")
+
+
+def hub_node_positions(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(hub, node, depth, positions)``, positions ascending."""
+    rows = hub_node(labels, keywords)
+    return rows.groupBy("hub", "node").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("hub", "node", F.length("node").alias("depth"), "positions")
+
+
+def hub_node_popcount(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(hub, node, ones, first_pos, last_pos)`` without building the positions."""
+    return hub_node(labels, keywords).groupBy("hub", "node").agg(F.count("*").alias("ones"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+def rank_in_parent(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(hub, node, pos, rank)``: positions of a node as ranks among its parent's, from 0."""
+    rows = hub_node(labels, keywords)
+    parent = F.row_number().over(Window.partitionBy("hub", "node").orderBy("pos")) - 1
+    ranked = rows.where("length(node) > 0").select("hub", F.col("node").alias("parent"), "pos", parent.alias("rank"))
+    root = hub_postings(labels, keywords).select("hub", F.lit("").alias("parent"), "pos", F.col("pos").alias("rank"))
+    child = rows.withColumn("parent", F.expr("substring(node, 1, length(node) - 1)"))
+    return child.join(ranked.unionByName(root), ["hub", "parent", "pos"]).select("hub", "node", "pos", "rank")
+
+
+def covering_nodes(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(hub, node)``: a hub's nodes without those whose subtree holds the hub's next node."""
+    own = hub_node(labels, keywords).select("hub", "node").distinct().join(trie_intervals(keywords), "node")
+    following = F.lead("id").over(Window.partitionBy("hub").orderBy("id"))
+    return own.withColumn("following", following).where("following is null or following > last").select("hub", "node")
+
+
+def index_size(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Bytes a hub's index takes: 8 a posting, 4 a node, and bitmaps of 4-byte words, raw and relative to the parent."""
+    postings = hub_postings(labels, keywords).groupBy("hub").agg(F.count("*").alias("postings"))
+    ones = hub_node_popcount(labels, keywords)
+    parents = ones.select("hub", F.col("node").alias("parent"), F.col("ones").alias("bits"))
+    parents = parents.unionByName(postings.select("hub", F.lit("").alias("parent"), F.col("postings").alias("bits")))
+    joined = ones.withColumn("parent", F.expr("substring(node, 1, length(node) - 1)")).join(parents, ["hub", "parent"]).join(postings, "hub")
+    words = lambda bits: F.ceil(bits / 32).cast("long") * 4
+    relative = F.when(F.col("ones") < F.col("bits"), words(F.col("bits"))).otherwise(F.lit(0))
+    return joined.groupBy("hub", "postings").agg(F.count("*").alias("nodes"), F.sum(words(F.col("postings"))).alias("raw_bytes"), F.sum(relative).alias("packed_bytes")).select(
+        "hub", (F.col("postings") * 8 + F.col("nodes") * 4 + F.col("raw_bytes")).alias("raw_bytes"), (F.col("postings") * 8 + F.col("nodes") * 4 + F.col("packed_bytes")).alias("packed_bytes")
+    )
