@@ -20,8 +20,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scoring at the threshold or above go."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
-    carry = tuple(docs.columns)
-    return toxicity.score(docs.withColumn("_kept", F.col("text")), model, (*(c for c in carry if c != "text"), "_kept")).where(F.col("score") < toxicity.THRESHOLD).withColumnRenamed("_kept", "text").select(*carry)
+    # the text travels under another name: the operator scores the column ``text``
+    carry = ("_kept" if c == "text" else c for c in docs.columns)
+    scored = toxicity.score(docs.withColumn("_kept", F.col("text")), model, tuple(carry), "_score")
+    return scored.where(F.col("_score") < toxicity.THRESHOLD).withColumnRenamed("_kept", "text").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +38,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is replaced in the text; all documents stay."""
     carry = tuple(c for c in docs.columns if c != "text")
-    clean = secrets.find_spans(docs, carry=carry, redact="[secret]")
+    clean = secrets.find_spans(docs, carry=carry, redact="[secret]", name="_found")
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        clean = clean.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
 
 

@@ -152,8 +152,8 @@ class SegmentIndex:
         return rows
 
 
-def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ("doc_id",), redact: str | None = None) -> DataFrame:
-    """``carry`` columns and ``found array<struct<kind, start, end>>`` per row of ``docs``.
+def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ("doc_id",), redact: str | None = None, name: str = "found") -> DataFrame:
+    """``carry`` columns and ``name array<struct<kind, start, end>>`` per row of ``docs``.
 
     Spans are in code points, end exclusive, ordered by start and then by the rules' order. With
     ``redact``, a ``text`` column follows in which each span (overlapping ones united) is replaced
@@ -179,10 +179,10 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[st
                 columns = [part.column(c) for c in carry] + [pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]
                 if redact is not None:
                     columns.append(pa.array([_redacted(t, x, redact) if x else t for t, x in zip(texts, found)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [*carry, "found"] + ["text"] * (redact is not None))
+                yield pa.RecordBatch.from_arrays(columns, [*carry, name] + ["text"] * (redact is not None))
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", found array<struct<kind:string,start:long,end:long>>" + (", text string" if redact is not None else "")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{name}` array<struct<kind:string,start:long,end:long>>" + (", text string" if redact is not None else "")
     return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 

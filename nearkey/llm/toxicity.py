@@ -109,8 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
     return at[at < 2**BITS], w[at < 2**BITS], float(w[at == 2**BITS].sum())
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns and ``score`` per row; an empty or null text scores as the intercept does."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``carry`` columns and ``name`` per row; an empty or null text scores as the intercept does."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
@@ -124,9 +124,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: t
                 told = weights[index] != 0
                 pair = np.unique(row[told] * np.int64(2**BITS) + index[told])
                 total = np.bincount(pair >> BITS, weights[pair & (2**BITS - 1)], part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + [pa.array(sigmoid(total + intercept))], [*carry, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + [pa.array(sigmoid(total + intercept))], [*carry, name])
 
-    return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", score double")
+    return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{name}` double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

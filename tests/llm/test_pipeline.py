@@ -26,7 +26,7 @@ def through(spark, docs, sf_dir):
     stage = dict(corpus_pipeline.STAGES)
     clean = stage["toxicity"](spark, docs, sf_dir)
     assert clean.columns == columns
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.train(docs, corpus_pipeline._labels(spark, sf_dir))
     score = Counter()
     for r in toxicity.score(docs, model).collect():
         score[r["doc_id"]] = max(score[r["doc_id"]], r["score"])
@@ -91,7 +91,9 @@ def test_pipeline_of_a_table(spark):
     assert np.isclose(whole.count(), pieces.count())
 
 
-def test_pipeline_of_odd_rows(spark, odd_docs, no_docs):
+def test_pipeline_of_odd_rows(spark, odd_docs, no_docs, monkeypatch):
+    clean = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "_labels", lambda spark, sf_dir: clean)
     through(spark, odd_docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id <> 1 or doc_id is null"), SF)
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES:

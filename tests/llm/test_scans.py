@@ -110,7 +110,7 @@ def test_warc_of_odd_rows(spark):
 
 
 def test_warc_lookup(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(odd_pages(spark).select("page_id", "url", "html"))
+    pages = spark.read.parquet(f"{SF}/pages.parquet").unionByName(odd_pages(spark).selectExpr("page_id + 1000000 as page_id", "url", "html"))
     entries, _ = warc.archive(pages)
     directory = warc.build_index(entries, f"{spark.conf.get('spark.checkpoint.dir')}/small-blocks", block_entries=3)
     assert directory.where("first_key > last_key or entries > 3").count() == 0
