@@ -1,4 +1,5 @@
-"""Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
+"""Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams,
+and stems of words.
 
 (McMahan et al., "Ad Click Prediction", 2013.) Each coordinate has its own rate, and L1 keeps all
 but the telling ones at zero. Training sees a bounded, documented sample of the labelled rows
@@ -16,15 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import Names, documents, id_and_text, mix, text_chunks
+from nearkey.llm.shared import Names, documents, id_and_text, materialised, mix, text_chunks
 
 BITS = 20
+#: Bytes of a word's stems.
+STEMS = (4, 6, 7)
 #: The bound of the training sample, in rows.
 SAMPLE_ROWS = 16_000
 #: One pass over the bounded sample; more shards train side by side, at some recall (README).
 SHARDS = 1
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1.0
 THRESHOLD = 0.3
+#: Rows of label 1, of all, that the rate counts beside the sample's.
+PRIOR = (1, 10)
+#: Online passes over a sample that is smaller than its bound: as many as fit the bound's steps, at most so many.
+PASSES = 3
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -33,7 +40,10 @@ _LOWER[65:91] += 32
 
 
 def features(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, index)`` of every unigram, bigram and one-word skip-gram of the texts, with repeats."""
+    """``(row, index)`` of every unigram, bigram, one-word skip-gram and stem of the texts, with repeats.
+
+    Stems (a word's first bytes) let inflected forms that training never saw share a weight.
+    """
     inside = np.zeros(len(buffer) + 2, bool)
     inside[1:-1] = _WORD[buffer]
     edge = np.zeros(len(buffer) + 1, bool)
@@ -41,18 +51,25 @@ def features(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    word = Names(_LOWER[buffer]).of(start, end)
+    known = Names(_LOWER[buffer])
+    word = known.of(start, end)
     rows, names = [row], [word]
     for step, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         same = np.flatnonzero(row[step:] == row[:-step]) if len(row) > step else np.zeros(0, np.int64)
         rows.append(row[same])
         names.append(mix(word[same] * np.uint64(odd) + (word[same + step] >> np.uint64(1))))
+    for size in STEMS:
+        long = np.flatnonzero(end - start > size)
+        rows.append(row[long])
+        names.append(mix(known.of(start[long], start[long] + size) * np.uint64(0x165667B19E3779F9)))
     return np.concatenate(rows), (np.concatenate(names) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Ftrl:
-    def __init__(self, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+    """Learns what moves the log odds away from ``base``, the prior's."""
+
+    def __init__(self, base: float = 0.0, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+        self.base, self.alpha, self.beta, self.l1, self.l2 = base, alpha, beta, l1, l2
         self.z, self.n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)  # the last is the intercept
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
@@ -63,7 +80,7 @@ class Ftrl:
     def learn(self, at: np.ndarray, label: float) -> None:
         """One step on the row whose features are ``at`` (each once, the intercept with them)."""
         w = self.weights(at)
-        g = sigmoid(w.sum()) - label
+        g = sigmoid(self.base + w.sum()) - label
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -81,11 +98,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
     """Sparse weights ``(index, weight, intercept)`` from ``labels(doc_id, toxic)``.
 
     Rows with a null doc_id or label are not learnt from; of several labels of a document the
-    largest counts. The sample (ids and labels only) has at most ``sample_rows`` rows.
+    largest counts. The sample (ids and labels only) has at most ``sample_rows`` rows. Scores start
+    from its rate of label 1, smoothed by ``PRIOR``, so few labels or none condemn nothing.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = materialised(sample, "sample")
+    seen = sample.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("int")).alias("toxic")).first()
+    rate = ((seen["toxic"] or 0) + PRIOR[0]) / (seen["n"] + PRIOR[1])
+    base = float(np.log(rate / (1 - rate)))
+    passes = max(1, min(PASSES, sample_rows // max(1, seen["n"])))
     rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,16 +120,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
                 row, index = pair >> BITS, pair & (2**BITS - 1)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 for i, (shard, label) in enumerate(zip(part.column("shard").to_pylist(), part.column("label").to_pylist())):
-                    models.setdefault(shard, Ftrl()).learn(np.r_[index[cut[i] : cut[i + 1]], 2**BITS], float(label > 0))
+                    models.setdefault(shard, Ftrl(base)).learn(np.r_[index[cut[i] : cut[i + 1]], 2**BITS], float(label > 0))
         for model in models.values():
             w = model.weights(slice(None))
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
 
-    learnt = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(11)), "doc_id").mapInArrow(run, "at long, w double")
+    steps = rows.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
+    learnt = steps.repartition(shards, "shard").sortWithinPartitions("shard", "pass", F.xxhash64("doc_id", "pass"), "doc_id").mapInArrow(run, "at long, w double")
     mean = learnt.groupBy("at").agg((F.sum("w") / shards).alias("w")).orderBy("at").toArrow()
     at, w = mean.column("at").to_numpy(), mean.column("w").to_numpy()
-    return at[at < 2**BITS], w[at < 2**BITS], float(w[at == 2**BITS].sum())
+    return at[at < 2**BITS], w[at < 2**BITS], base + float(w[at == 2**BITS].sum())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
