@@ -28,6 +28,16 @@ def prefixes(word: Column, with_root: bool = True) -> Column:
     return path if with_root else F.slice(path, 2, F.length(word) + 1)
 
 
+def deletions(text: Column, most: int) -> Column:
+    """All strings that ``text`` becomes when up to ``most`` characters are left out."""
+    every = front = F.array(text)
+    for _ in range(most):
+        shorter = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        front = F.array_distinct(F.flatten(F.transform(front, shorter)))
+        every = F.array_union(every, front)
+    return every
+
+
 def score(dist: Column, ped: Column, tau: int, alpha: float, d_max: float) -> Column:
     """``dist * alpha / d_max + (1 - alpha) * ped / tau`` in double, in this order of operations."""
     text = F.lit(0.0) if tau == 0 else F.lit(1 - alpha) * ped.cast("double") / F.lit(float(tau))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkey.functions.text import prefix_edit_distance, score, spatial
+from nearkey.functions.text import deletions, prefix_edit_distance, prefixes, score, spatial
 
 RESULT = ("vertex", "dist", "ped", "score")
 
@@ -28,6 +28,20 @@ def vertex_ped(keywords: DataFrame, text: str, tau: int) -> DataFrame:
     return keywords.join(word_ped(keywords, text, tau), "word").groupBy("vertex").agg(F.min("ped").alias("ped"))
 
 
+def match_texts(words: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
+    """``(text, word, ped)`` of all ``texts(text)`` and ``words(word)`` within ``tau``, by an equi-join.
+
+    Strings within tau edits become equal when at most tau characters are left out of each, so
+    texts meet the prefixes of words on such remainders; the distance is then computed once a pair.
+    """
+    typed = texts.select(F.lower("text").alias("text")).distinct()
+    typed = typed.select("text", F.explode(deletions(F.col("text"), tau)).alias("rest"))
+    starts = words.select("word").distinct().select("word", F.explode(prefixes(F.lower("word"))).alias("start"))
+    starts = starts.select("word", F.explode(deletions(F.col("start"), tau)).alias("rest")).distinct()
+    pairs = typed.join(starts, "rest").select("text", "word").distinct()
+    return pairs.withColumn("ped", prefix_edit_distance(F.col("text"), F.col("word"), tau)).where("ped is not null")
+
+
 def hub_distance(labels: DataFrame, vertex: int) -> DataFrame:
     """``(vertex, dist, hub)``: two-hop distances from ``vertex``, with the smallest witness hub."""
     own = labels.where(F.col("vertex") == vertex).select("hub", F.col("dist").alias("own"))
@@ -58,13 +72,10 @@ def _best_per(found: DataFrame, keys: list[str], k: int) -> DataFrame:
 def topk_batch(keywords: DataFrame, labels: DataFrame, queries: DataFrame, k: int = 5, tau: int = 1, alpha: float = 0.5, d_max: float = 100) -> DataFrame:
     """Top k for every row of ``queries(qid, q, text)``.
 
-    Words meet the different texts only (texts of a batch are few next to queries); hubs are
-    joined by hub, where a hub of many labels is a skewed key that AQE splits.
+    Every join is an equi-join, whatever the number of queries and texts; hubs are joined by hub,
+    where a hub of many labels is a skewed key that AQE splits.
     """
-    texts = queries.select(F.lower("text").alias("text")).distinct().agg(F.collect_set("text").alias("texts"))
-    words = keywords.select("word").distinct().join(F.broadcast(texts)).select("word", F.explode("texts").alias("text"))
-    words = words.withColumn("ped", prefix_edit_distance(F.col("text"), F.col("word"), tau)).where("ped is not null")
-    matches = keywords.join(words, "word").groupBy("text", "vertex").agg(F.min("ped").alias("ped"))
+    matches = keywords.join(match_texts(keywords, queries, tau), "word").groupBy("text", "vertex").agg(F.min("ped").alias("ped"))
     own = queries.select("qid", F.col("q").alias("vertex"), F.lower("text").alias("text")).join(labels, "vertex").select("qid", "text", "hub", F.col("dist").alias("own"))
     to = labels.join(own, "hub").groupBy("qid", "text", "vertex").agg(F.min(F.col("dist") + F.col("own")).alias("dist"))
     found = to.join(matches, ["text", "vertex"])
