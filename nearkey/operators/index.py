@@ -9,9 +9,16 @@ from nearkey.functions.text import prefixes
 
 
 def hub_postings(labels: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``(hub, vertex, dist, pos)``: labels of keyword vertices by hub, numbered by (dist, vertex)."""
+    """``(hub, vertex, dist, pos)``: labels of keyword vertices by hub, numbered by (dist, vertex).
+
+    A few hubs cover most vertices, so numbering is two-level: by vertex within a hub and distance, after the
+    counts of the hub's smaller distances.
+    """
     kept = labels.join(keywords.select("vertex").distinct(), "vertex", "left_semi")
-    return kept.select("hub", "vertex", "dist", (F.row_number().over(Window.partitionBy("hub").orderBy("dist", "vertex")) - 1).alias("pos"))
+    smaller = Window.partitionBy("hub").orderBy("dist").rowsBetween(Window.unboundedPreceding, -1)
+    before = kept.groupBy("hub", "dist").count().select("hub", "dist", F.coalesce(F.sum("count").over(smaller), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("hub", "dist").orderBy("vertex")) - 1
+    return kept.withColumn("n", number).join(before, ["hub", "dist"]).select("hub", "vertex", "dist", (F.col("n") + F.col("before")).cast("int").alias("pos"))
 
 
 def trie_nodes(keywords: DataFrame) -> DataFrame:
