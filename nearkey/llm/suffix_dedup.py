@@ -154,17 +154,21 @@ def _rerank(rows: DataFrame, group: list[str], name: str) -> tuple[DataFrame, Da
     stays, only ``group``s go on that still hold two rows and one that is not settled.
     """
     keys = ["rank", "whole", "lo", "hi"]
-    equal = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
-    told = materialised(rows.join(equal, keys), name)
+    # aggregates are written before they are joined: a join straight over two shuffles is one
+    # whose hot keys are split at run time
+    rows = materialised(rows, name)
+    equal = materialised(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")), f"{name}-equal")
+    told = materialised(rows.join(equal, keys), f"{name}-told")
     stay = told.where(F.expr("n = 1 or struct(doc, at) = first")).withColumn("settled", F.expr("settled or n > 1"))
     going = stay.groupBy(*group).agg(F.count("*").alias("n"), F.bool_and("settled").alias("idle")).where("n > 1 and not idle").drop("n", "idle")
+    going = materialised(going, f"{name}-going")
     return told.where("n > 1 and not settled"), stay.join(going, group, "left_semi").select("doc", "at", "lo", "hi", "rank", "settled")
 
 
 def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``(doc, start, end)``: bytes under windows that start more than once; spans may overlap."""
     rows = anchor_rows(named, length, gram)
-    twice = rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = materialised(rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "grams")
     live = rows.join(twice, "rank", "left_semi").withColumn("settled", F.lit(False))
     past, again = _rerank(live, ["rank"], "ranked")
     spans = past.selectExpr(*_SPAN, f"{length} as length")
