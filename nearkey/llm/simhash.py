@@ -118,7 +118,7 @@ def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         raise ValueError("four quarters prove links of at most three bits")
     quarters = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(65535)).alias("v")) for i in range(4)])
     rows = reps.withColumn("q", F.explode(quarters)).select((F.col("q.i") * 65536 + F.col("q.v")).alias("key"), "node", "fp")
-    hot = rows.groupBy("key").count().where(F.col("count") > tile).select("key")
+    hot = materialised(rows.groupBy("key").count().where(F.col("count") > tile).select("key"), "crowded")
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
