@@ -2,7 +2,9 @@
 
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014.) Every round is two
 aggregates with map-side combine and two joins back, so a hub is neither collected nor windowed;
-each round is checkpointed, so lost executors cost one round.
+each round is checkpointed, so lost executors cost one round. The minima are written before they
+are joined: a join straight over two shuffles is one whose hot keys (a hub's edges) are split at
+run time.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import checkpointed
+from nearkey.llm.shared import checkpointed, materialised
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,8 +28,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialised(low, "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialised(large, "large")
+        low = materialised(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpointed(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         last, seen = seen, _mark(now)
