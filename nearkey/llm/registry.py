@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op2_nearest": neighbours.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op7_vector_dedup": vector_dedup.ORACLE,
 }
