@@ -30,9 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder: for what several branches read."""
+    """``df`` written once as Parquet into the shared folder: for what several branches read.
+
+    All such tables of an application are in one folder, which can go when its results are read.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/nearkey-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
