@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import documents, text_chunks
+from nearkey.llm.shared import documents, materialised, text_chunks
 
 LEAST_WORDS = 8
 _LINE = re.compile(r"[^\n]+")
@@ -71,6 +71,7 @@ def repeated_units(docs: DataFrame, kind: str = "sentence", least_words: int = L
     """``(doc_id, start, end)`` of every unit but the first of its text by (doc_id, start)."""
     found = unit_digests(docs, kind, least_words)
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialised(first, "first-units")  # so that the join is over two shuffles, whose hot keys are split
     return found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "end")
 
 
