@@ -116,6 +116,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     long = rows.where(F.octet_length("payload") >= least)
     first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    first = materialised(first, "first-pages")  # so that the join is over two shuffles, whose hot keys are split
     typed = rows.join(first, "digest", "left").withColumn("revisit", F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)))
     base = _uri(folder)
 
