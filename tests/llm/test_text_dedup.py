@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -157,6 +158,46 @@ def test_lines_of_odd_rows(odd_docs, no_docs):
     assert line_dedup.remove_repeated(odd_docs).columns == [*odd_docs.columns, "removed"]
 
 
+def passages(texts, length):
+    """Brute force: per text the flags of words in ``length`` words that stand earlier, without overlap."""
+    seen, out = {}, []
+    for d, t in enumerate(texts):
+        words = [(m.start(), m.end(), m.group().casefold()) for m in re.finditer(r"[^\W_]+", t)]
+        gone = np.zeros(len(t), bool)
+        for i in range(len(words) - length + 1):
+            doc, at = seen.setdefault(tuple(w for _, _, w in words[i : i + length]), (d, i))
+            if doc != d or i >= at + length:
+                gone[words[i][0] : words[i + length - 1][1]] = True
+        out.append(gone)
+    return out
+
+
+def check_passages(spark, texts, length):
+    found = line_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length).collect()
+    got = [np.zeros(len(t), bool) for t in texts]
+    for r in found:
+        got[r["doc_id"]][r["start"] : r["end"]] = True
+    for t, a, b in zip(texts, got, passages(texts, length)):
+        assert (a == b).all(), t
+
+
+def test_passages_of_hard_texts(spark):
+    word = [f"w{i * i % 1009}" for i in range(400)]
+    j = " ".join
+    texts = [j(word), "start " + j(word[30:79]), "start " + j(word[30:80]), j(word[30:80]) + " end", "AA " + j(word[100:220]).upper() + "; x " + j(word[221:300]), "same " * 230, "same " * 49, "same, " * 120, "ab cd " * 90, "stra\u00dfe " + j(word[5:60]) + " STRASSE " * 60, "strasse " * 60, j(word[200:260] * 3), "", "\U0001f600 " + j(word[300:399]), j(word[300:360]) + "\n\n" + j(word[360:400])]
+    check_passages(spark, texts, 50)
+    rng = np.random.default_rng(5)
+    check_passages(spark, [j(f"v{x}" for x in rng.integers(0, 2, 60)) for _ in range(60)], 9)
+
+
+def test_a_passage_that_is_no_unit_goes(spark):
+    word = [f"w{i}" for i in range(200)]
+    texts = [" ".join(word[:120]), "other words first " + " ".join(word[20:90]) + " and others after"]
+    got = line_dedup.remove_repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), passage_words=line_dedup.PASSAGE_WORDS)
+    kept = {r["doc_id"]: r["text"].split() for r in got.collect()}
+    assert kept == {0: word[:120], 1: "other words first and others after".split()}
+
+
 def test_short_sentences_join_the_next_long_one():
     text = "Ed. On. This is a sentence of more than eight words here. So it is. Short."
     got = list(line_dedup.units(text, "sentence", 8))
