@@ -101,3 +101,39 @@ def test_vector_dedup_of_odd_rows(spark):
     assert [r for r in got if r[0] is not None] == sorted(r for r in want if r[0] is not None)
     assert [r for r in got if r[0] is None] == [(None, 0, None, False)]
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def crowded(n, pairs):
+    """Vectors around one direction (mean cosine 0.8), some with a partner at cosine 0.935."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((n, 64)) * 0.5 / 8
+    v[:, 0] += 1
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    w = v[rng.permutation(n)[:pairs]]
+    side = rng.standard_normal((pairs, 64))
+    side -= (side * w).sum(1)[:, None] * w
+    side /= np.sqrt((side * side).sum(1))[:, None]
+    return np.r_[v, 0.935 * w + np.sqrt(1 - 0.935**2) * side].astype(np.float32)
+
+
+def links_of(v):
+    u = v.astype(float) / np.sqrt((v.astype(float) ** 2).sum(1))[:, None]
+    return (u @ u.T >= 0.93).sum(1) - 1
+
+
+def test_no_link_of_a_crowded_label_is_missed(spark):
+    v = crowded(6000, 300)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = np.array([r[1] for r in rows(vector_dedup.near_duplicates(df))])
+    want = links_of(v)
+    assert want.sum() > 500 and (got == want).all()
+    by_passes = np.array([r[1] for r in rows(vector_dedup.near_duplicates(df, exact_rows=0))])
+    print("links", want.sum(), "found by passes", by_passes.sum())
+    assert by_passes.sum() >= 0.99 * want.sum()
+
+
+def test_passes_grow_with_the_label():
+    v = np.random.default_rng(2).standard_normal((500, 64))
+    need = [vector_dedup.passes_for(v, n, 0.93, 128, 16) for n in (1000, 100_000, 10_000_000)]
+    assert need[0] == 16 < need[1] < need[2]
+    assert vector_dedup.passes_for(v + 1, 100_000, 0.93, 128, 16) > need[1]
