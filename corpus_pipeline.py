@@ -29,10 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the smallest doc_id stays; rows without a doc_id stay.
 
-    Of rows that repeat that doc_id in one group, one stays.
+    Of rows that repeat that doc_id in one group, one stays (of several texts the one of least hash).
     """
-    found = simhash.near_duplicates(docs).where("doc_id is null or doc_id = component_id").select("doc_id")
-    return docs.join(found.where("doc_id is not null").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = simhash.grouped(docs).where("doc_id = component_id")
+    kept = found.groupBy(F.col("doc_id").alias("_id"), "component").agg(F.min("text_hash").alias("_kept")).select("_id", "_kept")
+    named = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
+    one = named.join(kept, F.expr("doc_id = _id and _hash = _kept"), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

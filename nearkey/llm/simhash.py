@@ -63,7 +63,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: one row per input row; null and wordless texts have fingerprint 0."""
+    """``(doc_id, text_hash, fp)``: one row per input row; null and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,9 +72,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 lists = [_hashes(data[a:b], width) for a, b in zip(offsets[:-1], offsets[1:])]
                 counts = np.fromiter(map(len, lists), np.int64, len(lists))
                 flat = np.fromiter((h for x in lists for h in x), np.uint64, int(counts.sum()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(majority(flat, counts).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(majority(flat, counts).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +165,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, tile:
     non-null doc_id of the rows reachable (null if there is none). Equal fingerprints are compared
     once, under the fingerprint as node.
     """
+    return grouped(docs, width, radius, tile).select("doc_id", "fp", "component_id")
+
+
+def grouped(docs: DataFrame, width: int = 3, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """:func:`near_duplicates` with ``text_hash`` and ``component``, which tells groups of one component_id apart."""
     found = materialised(fingerprints(docs, width), "simhash")
     reps = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     component = connected_components(links(reps.select(F.col("fp").alias("node"), "fp"), radius, tile))
     named = reps.join(component.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return found.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return found.join(named.join(least, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

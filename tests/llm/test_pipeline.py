@@ -117,3 +117,10 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
     assert said.returncode == 0, said.stderr
     assert not any(k.startswith("op") for k in entry._core.QUERIES)
+
+
+def test_a_repeated_doc_id_stays_once_in_each_group(spark):
+    a, b, c = (" ".join(f"{x}{i * i % 97}" for i in range(80)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (5, c), (5, c), (7, c), (None, c)], "doc_id long, text string")
+    got = table(corpus_pipeline.one_of_each_group(spark, docs, ""))
+    assert got == [(None, c), (1, a), (5, b), (5, c)]
