@@ -1,0 +1,33 @@
+"""The folder that driver and executors share, and what is kept in it."""
+
+from __future__ import annotations
+
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode only.
+
+    On a cluster a machine's own folder would hold tables that other machines cannot read, so there the
+    setting is required.
+    """
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder, to be deleted when its results have been read."""
+    return f"{shared_folder(spark).rstrip('/')}/nearkey-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 from nearkey.functions.text import prefixes
 
 
+#: Neighbouring numbers that one window counts through: a slice of vertex ids, of positions.
+SLICE_BITS = 16
+
+
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], last: str, name: str) -> DataFrame:
+    """``rows`` numbered from 0 within ``keys`` by ``order`` and then ``last``, an integer.
+
+    Two-level, since a key may hold a great part of all rows: rows are counted through inside slices of ``last``,
+    after the counts of the slices before.
+    """
+    cell = [*keys, *order, "_slice"]
+    sliced = rows.withColumn("_slice", F.shiftright(F.col(last).cast("long"), SLICE_BITS))
+    smaller = Window.partitionBy(*keys).orderBy(*order, "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sliced.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(smaller), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy(*cell).orderBy(last)) - 1
+    return sliced.withColumn("_n", number).join(before, cell).withColumn(name, (F.col("_n") + F.col("_before")).cast("int")).drop("_n", "_before", "_slice")
+
+
 def hub_postings(labels: DataFrame, keywords: DataFrame) -> DataFrame:
     """``(hub, vertex, dist, pos)``: labels of keyword vertices by hub, numbered by (dist, vertex).
 
-    A few hubs cover most vertices, so numbering is two-level: by vertex within a hub and distance, after the
-    counts of the hub's smaller distances.
+    A few hubs cover most vertices, so numbering is two-level.
     """
     kept = labels.join(keywords.select("vertex").distinct(), "vertex", "left_semi")
-    smaller = Window.partitionBy("hub").orderBy("dist").rowsBetween(Window.unboundedPreceding, -1)
-    before = kept.groupBy("hub", "dist").count().select("hub", "dist", F.coalesce(F.sum("count").over(smaller), F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("hub", "dist").orderBy("vertex")) - 1
-    return kept.withColumn("n", number).join(before, ["hub", "dist"]).select("hub", "vertex", "dist", (F.col("n") + F.col("before")).cast("int").alias("pos"))
+    return _numbered(kept, ["hub"], ["dist"], "vertex", "pos").select("hub", "vertex", "dist", "pos")
 
 
 def trie_nodes(keywords: DataFrame) -> DataFrame:
@@ -50,6 +64,13 @@ def trie_level_index(keywords: DataFrame) -> DataFrame:
     )
 
 
+def level_index_probe(keywords: DataFrame, probes: DataFrame) -> DataFrame:
+    """Rows of ``probes(letter, depth, low, high, ..)`` with ``(node, id)``: the nodes of that last letter and depth in the interval."""
+    nodes = trie_intervals(keywords).where("node <> ''")
+    nodes = nodes.select(F.substring("node", -1, 1).alias("letter"), F.length("node").alias("depth"), "node", "id")
+    return probes.join(nodes, ["letter", "depth"]).where("id between low and high")
+
+
 def hub_node(labels: DataFrame, keywords: DataFrame) -> DataFrame:
     """``(hub, node, pos)``: which postings of a hub have a word below a trie node."""
     under = keywords.select("vertex", F.explode(prefixes(F.col("word"), with_root=False)).alias("node")).distinct()
@@ -70,8 +91,7 @@ def hub_node_popcount(labels: DataFrame, keywords: DataFrame) -> DataFrame:
 def rank_in_parent(labels: DataFrame, keywords: DataFrame) -> DataFrame:
     """``(hub, node, pos, rank)``: positions of a node as ranks among its parent's, from 0."""
     rows = hub_node(labels, keywords)
-    parent = F.row_number().over(Window.partitionBy("hub", "node").orderBy("pos")) - 1
-    ranked = rows.where("length(node) > 0").select("hub", F.col("node").alias("parent"), "pos", parent.alias("rank"))
+    ranked = _numbered(rows, ["hub", "node"], [], "pos", "rank").select("hub", F.col("node").alias("parent"), "pos", "rank")
     root = hub_postings(labels, keywords).select("hub", F.lit("").alias("parent"), "pos", F.col("pos").alias("rank"))
     child = rows.withColumn("parent", F.expr("substring(node, 1, length(node) - 1)"))
     return child.join(ranked.unionByName(root), ["hub", "parent", "pos"]).select("hub", "node", "pos", "rank")

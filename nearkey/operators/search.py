@@ -8,8 +8,6 @@ vertices that match, the query vertex's own labels are a filtered slice, and the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +49,10 @@ def hub_distance(labels: DataFrame, vertex: int) -> DataFrame:
 
 
 def _near(labels: DataFrame, vertex: int, matches: DataFrame) -> DataFrame:
-    """``matches(vertex, ped)`` with the two-hop distance from ``vertex``."""
+    """``matches(vertex, ..)``, a row a vertex, with the two-hop distance from ``vertex``."""
     own = labels.where(F.col("vertex") == vertex).select("hub", F.col("dist").alias("own"))
     to = labels.join(matches, "vertex").join(own, "hub")
-    return to.groupBy("vertex", "ped").agg(F.min(F.col("dist") + F.col("own")).alias("dist"))
+    return to.groupBy(*matches.columns).agg(F.min(F.col("dist") + F.col("own")).alias("dist"))
 
 
 def topk(keywords: DataFrame, labels: DataFrame, vertex: int, text: str, k: int = 10, tau: int = 1, alpha: float = 0.5, d_max: float = 100) -> DataFrame:
@@ -72,15 +70,18 @@ def _best_per(found: DataFrame, keys: list[str], k: int) -> DataFrame:
 def topk_batch(keywords: DataFrame, labels: DataFrame, queries: DataFrame, k: int = 5, tau: int = 1, alpha: float = 0.5, d_max: float = 100) -> DataFrame:
     """Top k for every row of ``queries(qid, q, text)``.
 
-    Every join is an equi-join, whatever the number of queries and texts; hubs are joined by hub,
-    where a hub of many labels is a skewed key that AQE splits.
+    Texts come first: labels meet only vertices that match a text, and then the query vertices that typed
+    it, by (text, hub). Queries of one place and text are ranked once. Every join is an equi-join,
+    whatever the number of queries and texts; a hub of many labels is a skewed key that AQE splits.
     """
-    matches = keywords.join(match_texts(keywords, queries, tau), "word").groupBy("text", "vertex").agg(F.min("ped").alias("ped"))
-    own = queries.select("qid", F.col("q").alias("vertex"), F.lower("text").alias("text")).join(labels, "vertex").select("qid", "text", "hub", F.col("dist").alias("own"))
-    to = labels.join(own, "hub").groupBy("qid", "text", "vertex").agg(F.min(F.col("dist") + F.col("own")).alias("dist"))
-    found = to.join(matches, ["text", "vertex"])
+    typed = queries.select("qid", "q", F.lower("text").alias("text"))
+    asked = typed.select("q", "text").distinct()
+    matches = keywords.join(match_texts(keywords, asked, tau), "word").groupBy("text", "vertex").agg(F.min("ped").alias("ped"))
+    own = asked.join(labels.select(F.col("vertex").alias("q"), "hub", F.col("dist").alias("own")), "q")
+    there = matches.join(labels, "vertex")
+    found = there.join(own, ["text", "hub"]).groupBy("q", "text", "vertex", "ped").agg(F.min(F.col("dist") + F.col("own")).alias("dist"))
     found = found.withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
-    return _best_per(found, ["qid"], k)
+    return typed.join(_best_per(found, ["q", "text"], k), ["q", "text"]).select("qid", "rank", *RESULT)
 
 
 def _steps(text: str) -> list[tuple[int, str]]:
@@ -97,21 +98,40 @@ def keystroke_words(keywords: DataFrame, text: str, tau: int) -> DataFrame:
 def keystroke_words_incremental(keywords: DataFrame, text: str, tau: int) -> DataFrame:
     """The same, each step looking only at the words that the one before kept.
 
-    The distance never falls as text is added, so a word that is out stays out.
+    The distance never falls as text is added, so a word that is out stays out: in one pass over the dictionary
+    a step is computed where the one before has a distance.
     """
-    left, steps = keywords.select("word").distinct(), []
+    words, last = keywords.select("word").distinct(), F.lit(0)
     for i, typed in _steps(text):
-        left = left.select("word", prefix_edit_distance(F.lit(typed), F.col("word"), tau).alias("ped")).where("ped is not null")
-        steps.append(left.select(F.lit(i).alias("step"), "word", "ped"))
-        left = left.select("word")
-    return reduce(DataFrame.unionByName, steps)
+        words = words.withColumn(f"ped{i}", F.when(last.isNotNull(), prefix_edit_distance(F.lit(typed), F.col("word"), tau)))
+        last = F.col(f"ped{i}")
+    if not text:
+        return words.selectExpr("0 as step", "word", "0 as ped").limit(0)
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"ped{i}").alias("ped")) for i, _ in _steps(text)])
+    return words.select("word", F.explode(steps).alias("s")).select("s.step", "word", "s.ped").where("ped is not null")
+
+
+def active_nodes(nodes: DataFrame, text: str, tau: int) -> DataFrame:
+    """``(node, ed)`` of the trie nodes ``nodes(node)`` within ``tau`` edits of ``text``."""
+    return nodes.select("node", F.levenshtein(F.lit(text.lower()), F.lower("node"), tau).alias("ed")).where("ed >= 0")
+
+
+def active_node_map(nodes: DataFrame, before: str, after: str, tau: int) -> DataFrame:
+    """``(old, old_ed, node, ed)``: which active nodes of ``before`` lead to those of ``after``.
+
+    A node stays under the old nodes that are its prefixes; they meet by an equi-join on the prefixes of the new
+    node, so no interval is compared.
+    """
+    old = active_nodes(nodes, before, tau).select(F.col("node").alias("old"), F.col("ed").alias("old_ed"))
+    new = active_nodes(nodes, after, tau).withColumn("old", F.explode(prefixes(F.col("node"))))
+    return new.join(old, "old").select("old", "old_ed", "node", "ed")
 
 
 def keystroke_topk(keywords: DataFrame, labels: DataFrame, vertex: int, text: str, k: int = 5, tau: int = 1, alpha: float = 0.5, d_max: float = 100, incremental: bool = False) -> DataFrame:
-    """Top k after every keystroke: ``(step, rank, vertex, dist, ped, score)``; distances are joined once."""
+    """Top k after every keystroke: ``(step, rank, vertex, dist, ped, score)``; distances, of what matches, are joined once."""
     words = (keystroke_words_incremental if incremental else keystroke_words)(keywords, text, tau)
     matches = keywords.join(words, "word").groupBy("step", "vertex").agg(F.min("ped").alias("ped"))
-    found = matches.join(hub_distance(labels, vertex).drop("hub"), "vertex")
+    found = matches.join(_near(labels, vertex, matches.select("vertex").distinct()), "vertex")
     found = found.withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
     return _best_per(found, ["step"], k)
 
@@ -144,5 +164,5 @@ def multikey_keystroke(keywords: DataFrame, labels: DataFrame, vertex: int, text
         last = last.join(multi_ped(keywords, texts[:-1], tau), "vertex").select("step", "vertex", (F.col("ped") + F.col("last")).alias("ped"))
     else:
         last = last.withColumnRenamed("last", "ped")
-    found = last.join(hub_distance(labels, vertex).drop("hub"), "vertex")
+    found = last.join(_near(labels, vertex, last.select("vertex").distinct()), "vertex")
     return _best_per(_multi_score(found, len(texts), tau, alpha, d_max), ["step"], k)

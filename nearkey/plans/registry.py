@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearkey.folders import shared_path
 from nearkey.functions import bits
 from nearkey.functions.text import prefix_edit_distance
 from nearkey.operators import index, maintenance, network, search
+from nearkey.sources import files
 from nearkey.sources.tables import SQL as MODEL
 from nearkey.sources.tables import star_model
 from nearkey.streaming import keystrokes
@@ -169,6 +171,37 @@ def _(spark, sf_dir):
     return network.distances(_ring(spark, sf_dir), start).select(F.col("vertex").cast("long").alias("vertex"), "dist")
 
 
+def _by_key(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("vertex"), F.col("n_nationkey").alias("rank"))
+
+
+@_query("landmark_distance", ORACLE_SQL["sssp_nation"].replace("SELECT 0, 0 UNION", "SELECT 3, 0 UNION"))
+def _(spark, sf_dir):
+    """Two-hop labels by pruned searches, and distances from nation 3 by joining them."""
+    labels = network.landmark_labels(_ring(spark, sf_dir), _by_key(spark, sf_dir))
+    return search.hub_distance(labels, 3).select(F.col("vertex").cast("long").alias("vertex"), F.col("dist").cast("long").alias("dist"))
+
+
+_RING = """ring AS (SELECT n_nationkey AS a, (n_nationkey + 1) % 25 AS b, n_nationkey * 7 % 5 + 1 AS w FROM nation
+), e AS (SELECT a AS src, b AS dst, w FROM ring UNION ALL SELECT b, a, w FROM ring
+), f AS (SELECT src, dst, CASE WHEN least(src, dst) = 3 AND greatest(src, dst) = 4 THEN w + 7 WHEN least(src, dst) = 11 AND greatest(src, dst) = 12 THEN 1 ELSE w END AS w FROM e)"""
+
+
+@_query("edge_label_changes", f"""WITH RECURSIVE {_RING}, was(hub, vertex, dist) AS (
+  SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT was.hub, e.dst, was.dist + e.w FROM was JOIN e ON e.src = was.vertex WHERE was.dist + e.w <= 60
+), becomes(hub, vertex, dist) AS (
+  SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT b.hub, f.dst, b.dist + f.w FROM becomes b JOIN f ON f.src = b.vertex WHERE b.dist + f.w <= 60
+), o AS (SELECT hub, vertex, min(dist) AS dist FROM was GROUP BY 1, 2), n AS (SELECT hub, vertex, min(dist) AS dist FROM becomes GROUP BY 1, 2)
+SELECT CAST(n.vertex AS BIGINT) AS vertex, CAST(n.hub AS BIGINT) AS hub, CAST(n.dist AS BIGINT) AS dist FROM n JOIN o USING (hub, vertex) WHERE n.dist <> o.dist""")
+def _(spark, sf_dir):
+    """Labels that change when one edge of the ring becomes dearer and another cheaper."""
+    edges = _ring(spark, sf_dir)
+    ends = edges.where("src < dst and (src = 3 and dst = 4 or src = 11 and dst = 12)")
+    changed = ends.selectExpr("src as u", "dst as v", "w as old", "if(src = 3, w + 7, 1) as new")
+    found = network.edge_label_changes(network.complete_labels(edges), edges, changed)
+    return found.select(*[F.col(c).cast("long").alias(c) for c in ("vertex", "hub", "dist")])
+
+
 # --- top-k -----------------------------------------------------------------------------------
 
 
@@ -191,7 +224,7 @@ _one("topk_no_match", text="zzzz", tau=0)
 _TYPED = ("wid", "smal", "bran", "bolt")
 
 
-@_query("topk_batch", f"""WITH {MODEL}, asked AS (SELECT p_partkey AS qid, p_partkey AS q, CASE p_partkey % 4 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPED))} END AS text FROM part WHERE p_partkey % 37 = 7
+@_query("topk_batch", f"""WITH {MODEL}, asked AS (SELECT p_partkey AS qid, p_partkey AS q, CASE p_partkey // 50 % 4 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPED))} END AS text FROM part WHERE p_partkey % 50 = 0
 ), peds AS (SELECT text, word, {_ped('text', 'word', 1)} AS ped FROM (SELECT DISTINCT word FROM vertex_keywords), (SELECT DISTINCT text FROM asked)
 ), m AS (SELECT text, vertex, CAST(min(ped) AS BIGINT) AS ped FROM peds JOIN vertex_keywords USING (word) WHERE ped IS NOT NULL GROUP BY 1, 2
 ), d AS (SELECT qid, text, b.vertex, CAST(min(a.dist + b.dist) AS BIGINT) AS dist FROM asked JOIN hop_labels a ON a.vertex = q JOIN hop_labels b ON a.hub = b.hub GROUP BY 1, 2, 3
@@ -199,8 +232,8 @@ _TYPED = ("wid", "smal", "bran", "bolt")
 {_ranked('f', 'qid', 5, _score(1, 0.5, 100), 'CAST(dist AS DOUBLE) * CAST(0.5 AS DOUBLE) / CAST(100 AS DOUBLE)')}""")
 def _(spark, sf_dir):
     m = star_model(spark, sf_dir)
-    typed = F.array(*map(F.lit, _TYPED))[(F.col("p_partkey") % 4).cast("int")]
-    asked = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 37 = 7").select(F.col("p_partkey").alias("qid"), F.col("p_partkey").alias("q"), typed.alias("text"))
+    typed = F.array(*map(F.lit, _TYPED))[F.expr("cast(p_partkey div 50 % 4 as int)")]
+    asked = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_partkey").alias("q"), typed.alias("text"))
     return _rounded(search.topk_batch(m.keywords, m.labels, asked))
 
 
@@ -299,11 +332,36 @@ def _(spark, sf_dir):
 
 @_query("rank_in_parent", f"""WITH {MODEL}, {_HUB_NODE}, parents AS (
   SELECT hub, node AS parent, pos, CAST(row_number() OVER (PARTITION BY hub, node ORDER BY pos) - 1 AS BIGINT) AS rank FROM hub_node UNION ALL SELECT hub, '', pos, pos FROM hub_postings)
-SELECT h.hub, h.node, h.pos, p.rank FROM hub_node h JOIN parents p ON p.hub = h.hub AND p.pos = h.pos AND p.parent = substr(h.node, 1, length(h.node) - 1)""")
+SELECT h.hub, h.node, CAST(count(*) AS BIGINT) AS ones, min(p.rank) AS first_rank, max(p.rank) AS last_rank, CAST(sum(p.rank) AS BIGINT) AS ranks, CAST(sum((h.pos + 1) * (p.rank + 1)) AS BIGINT) AS digest
+FROM hub_node h JOIN parents p ON p.hub = h.hub AND p.pos = h.pos AND p.parent = substr(h.node, 1, length(h.node) - 1) GROUP BY 1, 2""")
 def _(spark, sf_dir):
+    """Every rank goes into its node's sums and digest: a row per (hub, node), not per position."""
     m = star_model(spark, sf_dir)
-    rows = index.rank_in_parent(m.labels, m.keywords)
-    return rows.select("hub", "node", F.col("pos").cast("long").alias("pos"), F.col("rank").cast("long").alias("rank"))
+    pos, rank = F.col("pos").cast("long"), F.col("rank").cast("long")
+    return index.rank_in_parent(m.labels, m.keywords).groupBy("hub", "node").agg(
+        F.count("*").alias("ones"), F.min(rank).alias("first_rank"), F.max(rank).alias("last_rank"), F.sum(rank).alias("ranks"), F.sum((pos + 1) * (rank + 1)).alias("digest")
+    )
+
+
+_PROBES = "SELECT i.id AS low, i.last AS high, l.letter, CAST(length(i.node) + 1 AS BIGINT) AS depth, i.node AS under FROM intervals i, (VALUES ('i'), ('e'), ('a')) l(letter)"
+
+
+@_query("level_index_probe", f"WITH {MODEL}, {_INTERVALS}, probes AS ({_PROBES}) SELECT p.under, p.letter, n.node, n.id FROM probes p JOIN ids n ON n.node <> '' AND right(n.node, 1) = p.letter AND length(n.node) = p.depth AND n.id BETWEEN p.low AND p.high")
+def _(spark, sf_dir):
+    """From every trie node, its children by some letters."""
+    keywords = star_model(spark, sf_dir).keywords
+    letters = F.explode(F.array(*map(F.lit, "iea"))).alias("letter")
+    probes = index.trie_intervals(keywords).select(F.col("node").alias("under"), F.col("id").alias("low"), F.col("last").alias("high"), (F.length("node") + 1).alias("depth"), letters)
+    return index.level_index_probe(keywords, probes).select("under", "letter", "node", "id")
+
+
+_ACTIVE_MAP = "SELECT o.node AS old, CAST(levenshtein('wi', o.node) AS BIGINT) AS old_ed, n.node, CAST(levenshtein('wid', n.node) AS BIGINT) AS ed FROM nodes o JOIN nodes n ON starts_with(n.node, o.node) WHERE levenshtein('wi', o.node) <= 1 AND levenshtein('wid', n.node) <= 1"
+
+
+@_query("active_node_map", f"WITH {MODEL}, {_NODES} {_ACTIVE_MAP}")
+def _(spark, sf_dir):
+    found = search.active_node_map(index.trie_nodes(star_model(spark, sf_dir).keywords), "wi", "wid", 1)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("old_ed", "ed")})
 
 
 @_query("covering_nodes", f"""WITH {MODEL}, {_INTERVALS}, {_HUB_NODE}, own AS (
@@ -424,9 +482,78 @@ def _(spark, sf_dir):
     )
 
 
+@_query("bit_updates", f"""WITH {MODEL}, {_POSTINGS}, s AS (SELECT hub, coalesce(list_sort(list(CAST(pos AS INTEGER)) FILTER (dist % 4 = 0)), []) AS a, coalesce(list_sort(list(CAST(pos AS INTEGER)) FILTER (dist % 2 = 0)), []) AS p, CAST(count(*) AS INTEGER) AS n FROM hub_postings GROUP BY 1)
+SELECT hub, array_to_string(list_sort(list_distinct(list_append(a, 7))), ' ') AS set7, array_to_string(list_filter(a, lambda x: x <> 8), ' ') AS cleared8, len(list_filter(a, lambda x: x = 9)) > 0 AS at9, len(a) = 0 AS all_zero,
+  coalesce(a[3], -1) AS third, array_to_string(list_sort(list_append(list_transform(a, lambda x: CASE WHEN x >= 6 THEN x + 1 ELSE x END), 6)), ' ') AS one_in, array_to_string(list_transform(a, lambda x: CASE WHEN x >= 6 THEN x + 1 ELSE x END), ' ') AS zero_in,
+  array_to_string(list_transform(a, lambda x: len(list_filter(p, lambda y: y < x))), ' ') AS packed, array_to_string(a, ' ') AS unpacked, array_to_string(list_transform(range(n), lambda i: CASE WHEN list_contains(a, i) THEN '1' ELSE '0' END), '') AS shown, CAST(n AS BIGINT) AS every FROM s""")
+def _(spark, sf_dir):
+    m = star_model(spark, sf_dir)
+    rows = index.hub_postings(m.labels, m.keywords).groupBy("hub").agg(
+        F.sort_array(F.collect_list(F.when(F.col("dist") % 4 == 0, F.col("pos")))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("dist") % 2 == 0, F.col("pos")))).alias("p"), F.count("*").cast("int").alias("n")
+    )
+    a, p, n, at = F.col("a"), F.col("p"), F.col("n"), F.lit(6)
+    text = lambda x: F.array_join(x.cast("array<string>"), " ")
+    return rows.select(
+        "hub", text(bits.set_one(a, F.lit(7))).alias("set7"), text(bits.set_zero(a, F.lit(8))).alias("cleared8"), bits.value_at(a, F.lit(9)).alias("at9"), bits.all_zero(a).alias("all_zero"), bits.find_one(a, F.lit(3)).alias("third"),
+        text(bits.insert_bit(a, at, True)).alias("one_in"), text(bits.insert_bit(a, at, False)).alias("zero_in"), text(bits.compress(a, p)).alias("packed"), text(bits.uncompress(bits.compress(a, p), p)).alias("unpacked"),
+        bits.show(a, n).alias("shown"), F.size(bits.set_all(n)).cast("long").alias("every"),
+    )
+
+
+# --- files -----------------------------------------------------------------------------------
+
+
+@_query("edge_file", f"WITH {MODEL} SELECT CAST(vertex AS INTEGER) AS src, CAST(-hub - 1 AS INTEGER) AS dst, dist AS w FROM hop_labels UNION ALL SELECT CAST(-hub - 1 AS INTEGER), CAST(vertex AS INTEGER), dist FROM hop_labels")
+def _(spark, sf_dir):
+    """The network written as text and read back as a graph file."""
+    path = shared_path(spark, "edges")
+    files.write_edges_text(star_model(spark, sf_dir).edges, path)
+    return files.read_graph(spark, path)
+
+
+@_query("token_file", "SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> '' GROUP BY 1")
+def _(spark, sf_dir):
+    path = shared_path(spark, "names")
+    spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").write.text(path)
+    return files.read_tokens(spark, path).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@_query("dictionary_file", f"WITH {MODEL} SELECT CAST(row_number() OVER (ORDER BY encode(word)) - 1 AS INTEGER) AS key_id, word FROM (SELECT DISTINCT word FROM vertex_keywords)")
+def _(spark, sf_dir):
+    """A dictionary of one file, whose line numbers are the ids."""
+    path = shared_path(spark, "words")
+    star_model(spark, sf_dir).keywords.select("word").distinct().orderBy("word").coalesce(1).write.text(path)
+    return files.read_dictionary(spark, path)
+
+
+@_query("index_file", f"WITH {MODEL}, {_POSTINGS} SELECT hub, vertex, dist, CAST(pos AS INTEGER) AS pos FROM hub_postings")
+def _(spark, sf_dir):
+    m, path = star_model(spark, sf_dir), shared_path(spark, "postings")
+    files.write_index(index.hub_postings(m.labels, m.keywords), path)
+    return files.read_index(spark, path).select("hub", "vertex", "dist", "pos")
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
 @_query("keystroke_stream", "SELECT user_id AS session, CAST(count(*) AS INTEGER) AS step, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS text FROM events GROUP BY 1")
 def _(spark, sf_dir):
     return keystrokes.typed_sessions(keystrokes.event_keys(spark, sf_dir))
+
+
+_WORDS = ("widget", "small", "brand", "bolt")
+
+
+@_query("keystroke_rankings", f"""WITH {MODEL}, asked AS (SELECT event_id // 3 AS qid, {Q} AS q, substr((ARRAY[{', '.join(f"'{w}'" for w in _WORDS)}])[1 + CAST(event_id // 3 % 4 AS INTEGER)], 1, CAST(count(*) AS INTEGER)) AS text FROM events GROUP BY 1, event_id // 3 % 4
+), typed AS (SELECT DISTINCT q, text FROM asked
+), peds AS (SELECT text, word, {_ped('text', 'word', 1)} AS ped FROM (SELECT DISTINCT word FROM vertex_keywords), (SELECT DISTINCT text FROM typed)
+), m AS (SELECT text, vertex, CAST(min(ped) AS BIGINT) AS ped FROM peds JOIN vertex_keywords USING (word) WHERE ped IS NOT NULL GROUP BY 1, 2
+), {_dist(Q)}, f AS (SELECT text, vertex, dist, ped FROM near JOIN m USING (vertex)
+), r AS ({_ranked('f', 'text', 3, _score(1, 0.5, 100), _SRD)})
+SELECT qid, rank, vertex, dist, ped, score FROM asked JOIN r USING (text)""")
+def _(spark, sf_dir):
+    """The ranking after the last key of every session of a stream."""
+    m = star_model(spark, sf_dir)
+    ranked = keystrokes.keystroke_rankings(keystrokes.typed_keys(spark, sf_dir, _WORDS), m.keywords, m.labels, Q, k=3)
+    last = ranked.groupBy("qid").agg(F.max("trigger").alias("trigger"))
+    return _rounded(ranked.join(last, ["qid", "trigger"]).drop("trigger"))

@@ -6,19 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line, value)`` of a text file, lines numbered from 0.
+    """``(line, value)`` of a text file, lines numbered from 0, empty ones left out.
 
-    Line numbers are ids in these formats, so a file is read whole; tables with ids of their own
-    (Parquet) have no such limit.
+    Line numbers are ids in these formats. A large file is many splits, so numbering is two-level: within a
+    split in reading order, after the counts of the splits that begin before it.
     """
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return rows.where("value <> ''")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("at"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("file", "block").count().select("file", "block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    return rows.withColumn("n", number).join(before, ["file", "block"]).select((F.col("n") + F.col("before")).cast("int").alias("line"), "value").where("value <> ''")
 
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
