@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,33 +9,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearkey.folders import checkpointed, shared_folder, shared_path  # noqa: F401
+
 #: Bytes of text that a task's numpy work holds at a time (a longer single text goes alone).
 CHUNK_BYTES = 2 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder: for what several branches read.
 
     All such tables of an application are in one folder, which can go when its results are read.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/nearkey-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes :func:`materialised` tables that nothing reads any more: all that follows from them is written."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,27 +13,31 @@ equal windows have equal anchors); neighbouring windows of one anchor are one ro
 * the others are cut into blocks of windows and ranked again by longer strings (what all windows
   of a block share: ``GRAM`` bytes, then ``length`` - 15, - 3, and at last ``length``), until nothing is left.
 
-Ranks are 64-bit names (polynomials by prefix sums) compared only within equal gram ranks.
-Documents are named by a hash of id and text, so null or repeated ids do no harm.
+Ranks are 64-bit names (polynomials by prefix sums) compared only within equal gram ranks; equality of
+bytes is not verified, so of n rows some pair is mistaken with a probability of about n * n / 2**65.
+Texts are named by a hash, whatever rows they stand in: copies are one text whose count says that all
+of it is repeated, and cost no more than one. Groups are counted by aggregates and met again by joins over two
+shuffles, whose hot keys are split, rather than ranked in one sorted partition each.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import Names, documents, materialised, mix, text_chunks
+from nearkey.llm.shared import Names, discard, documents, materialised, mix, text_chunks
 
 LENGTH = 200
 GRAM = 64
 BLOCKS = (16, 4, 1)
 SEGMENT = 1 << 20
 _LOW = np.uint64((1 << 28) - 1)
-_SPAN = ("doc", "at - hi as start", "at - lo as end")
 
 
 def _least_over(values: np.ndarray, width: int) -> np.ndarray:
@@ -100,7 +104,7 @@ def anchor_rows(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 def contexts(named: DataFrame, left: DataFrame, length: int) -> DataFrame:
     """``(doc, at, lo, hi, rank, settled, bytes)``: the string under the windows of the rows ``left``."""
     wanted = left.groupBy("doc").agg(F.collect_list(F.struct("at", "lo", "hi", "rank", "settled")).alias("wanted"))
-    joined = named.select("doc", "text").join(wanted, "doc")
+    joined = named.select("doc", "text").dropDuplicates(["doc"]).join(wanted, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,77 +151,89 @@ def block_rows(rows: DataFrame, size: int, length: int, gram: int) -> DataFrame:
 
 
 def _rerank(rows: DataFrame, group: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """One round over ``rows``: those past the threshold, and those to rank again.
+    """One round over ``rows``: spans of those past the threshold, and the rows to rank again, both written.
 
-    Rows of equal (rank, whole, lo, hi) lie under equal windows. Where there are several, all are
-    past, and one stays as a settled partner for rows that share only some of its windows. Of what
-    stays, only ``group``s go on that still hold two rows and one that is not settled.
+    Rows of equal (rank, whole, lo, hi) lie under equal windows. Where there are several (``n`` copies count each),
+    all are past, and one stays as a settled partner for rows that share only some of its windows. Of
+    what stays, only ``group``s go on that still hold two rows and one that is not settled.
     """
     keys = ["rank", "whole", "lo", "hi"]
     # aggregates are written before they are joined: a join straight over two shuffles is one
-    # whose hot keys are split at run time
+    # whose hot keys (a rank that many rows have) are split at run time
     rows = materialised(rows, name)
-    equal = materialised(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")), f"{name}-equal")
-    told = materialised(rows.join(equal, keys), f"{name}-told")
-    stay = told.where(F.expr("n = 1 or struct(doc, at) = first")).withColumn("settled", F.expr("settled or n > 1"))
-    going = stay.groupBy(*group).agg(F.count("*").alias("n"), F.bool_and("settled").alias("idle")).where("n > 1 and not idle").drop("n", "idle")
+    equal = materialised(rows.groupBy(*keys).agg(F.sum("n").alias("all"), F.min(F.struct("doc", "at")).alias("first")).where("all > 1"), f"{name}-equal")
+    told = materialised(rows.join(equal, keys, "left"), f"{name}-told")
+    past = materialised(told.where("all > 1 and not settled").select("doc", "at", "lo", "hi"), f"{name}-past")
+    stay = told.where("all is null or struct(doc, at) = first").withColumn("settled", F.expr("settled or all is not null"))
+    going = stay.groupBy(*group).agg(F.count("*").alias("rows"), F.bool_and("settled").alias("idle")).where("rows > 1 and not idle").select(*group)
     going = materialised(going, f"{name}-going")
-    return told.where("n > 1 and not settled"), stay.join(going, group, "left_semi").select("doc", "at", "lo", "hi", "rank", "settled")
+    again = materialised(stay.join(going, group, "left_semi").select("doc", "at", "lo", "hi", "rank", "settled"), f"{name}-again")
+    discard(rows, equal, told, going)
+    return past, again
 
 
 def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``(doc, start, end)``: bytes under windows that start more than once; spans may overlap."""
-    rows = anchor_rows(named, length, gram)
-    twice = materialised(rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "grams")
-    live = rows.join(twice, "rank", "left_semi").withColumn("settled", F.lit(False))
-    past, again = _rerank(live, ["rank"], "ranked")
-    spans = past.selectExpr(*_SPAN, f"{length} as length")
+    """``(doc, start, end)`` of ``named(doc, text)``: bytes under windows that start more than once; spans may overlap."""
+    rows = materialised(anchor_rows(named, length, gram), "anchors")
+    twice = materialised(rows.groupBy("rank").count().where("count > 1").select("rank"), "grams")
+    live = rows.join(twice, "rank", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    past, again = _rerank(live.withColumn("settled", F.lit(False)), ["rank"], "ranked")
+    discard(rows, twice)
+    every = [past]
     text = rows = materialised(contexts(named, again, length).withColumn("to", F.col("hi")), "contexts")
     for size in BLOCKS:
-        past, again = _rerank(block_rows(rows, size, length, gram), ["rank", "inner"], f"blocks{size}")
-        spans = spans.unionByName(past.selectExpr(*_SPAN, f"{length} as length"))
+        past, again = _rerank(block_rows(rows, size, length, gram).withColumn("n", F.lit(1)), ["rank", "inner"], f"blocks{size}")
+        every.append(past)
         if size > 1:
-            part = again.select("doc", "at", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("settled").alias("settled2")).distinct()
+            part = again.select("doc", "at", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("settled").alias("settled2"))
             rows = text.join(part, ["doc", "at"]).where("lo2 between lo and hi").select("doc", "at", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "rank", F.col("settled2").alias("settled"), "to", "bytes")
-    return spans.select("doc", "start", (F.col("end") + F.col("length")).alias("end"))
+    discard(text)
+    return reduce(DataFrame.unionByName, every).select("doc", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end"))
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry``, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (byte offsets) and ``kept`` (binary) per row.
+def _covered(n: int, spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of ``n`` bytes under ``spans``, and their maximal runs."""
+    if not spans.is_valid:
+        return np.zeros(n, bool), np.zeros((0, 2), np.int64)
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, spans.values.field("start").to_numpy(), 1)
+    np.add.at(change, spans.values.field("end").to_numpy(), -1)
+    gone = np.cumsum(change)[:-1] > 0
+    return gone, np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)
 
-    A null text is empty; texts shorter than ``length`` bytes keep all; doc_id may be null or
-    repeated; an empty table gives no rows.
+
+def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
+    """``carry``, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (byte offsets) and ``kept`` per row of ``docs(text)``.
+
+    ``kept`` are the remaining bytes, or with ``digest`` their SHA-256 in hex, so that texts do not leave
+    the task. A null text is empty; texts shorter than ``length`` bytes keep all; doc_id may be null or
+    repeated; rows that repeat whole (with or without one id) are copies and lose all of ``length`` bytes or more;
+    columns of ``docs`` other than ``carry`` are ignored; an empty table gives no rows.
     """
-    named = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64(*carry, "text"))
-    spans = repeated_spans(named, length, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    named = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("_doc", F.xxhash64("_text"))
+    spans = repeated_spans(named.select(F.col("_doc").alias("doc"), F.col("_text").alias("text")), length, gram)
+    spans = materialised(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("_found")), "spans")
     kinds = dict(named.dtypes)
-    joined = named.join(spans, "doc", "left").select(*carry, "text", "found")
+    joined = named.join(spans, F.col("_doc") == F.col("doc"), "left").select(*carry, "_text", "_found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buffer, offsets in text_chunks(batch, "text"):
+            for part, buffer, offsets in text_chunks(batch, "_text"):
                 out: list[list] = [[] for _ in range(5)]
-                for i, found in enumerate(part.column("found")):
+                for i, found in enumerate(part.column("_found")):
                     text = buffer[offsets[i] : offsets[i + 1]]
-                    spans, kept = np.zeros((0, 2), np.int64), text
-                    if found.is_valid:
-                        flat = found.values
-                        change = np.zeros(len(text) + 1, np.int64)
-                        np.add.at(change, flat.field("start").to_numpy(), 1)
-                        np.add.at(change, flat.field("end").to_numpy(), -1)
-                        gone = np.cumsum(change)[:-1] > 0
-                        edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                        spans, kept = edges.reshape(-1, 2), text[~gone]
-                    for x, v in zip(out, (len(text), len(text) - len(kept), len(spans), spans.tolist(), kept.tobytes())):
+                    gone, runs = _covered(len(text), found)
+                    kept = text[~gone].tobytes() if len(runs) else text.tobytes()
+                    for x, v in zip(out, (len(text), int(gone.sum()), len(runs), runs.tolist(), hashlib.sha256(kept).hexdigest() if digest else kept)):
                         x.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
-                arrays = [part.column(c) for c in carry] + [pa.array(x, k) for x, k in zip(out, kinds)]
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string() if digest else pa.binary())
+                arrays = [part.column(c) for c in carry] + [pa.array(x, k) for x, k in zip(out, types)]
                 yield pa.RecordBatch.from_arrays(arrays, [*carry, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept {'string' if digest else 'binary'}"
     return joined.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = remove_repeated(documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeated(documents(spark, sf_dir), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))

@@ -50,6 +50,24 @@ def test_suffix_dedup_of_hard_texts(spark):
     check_suffix(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
 
 
+def test_copied_rows_cost_no_more_than_one(spark, monkeypatch):
+    """Rows after the first round, whatever the number of copies."""
+    base = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(900))
+    seen, whole = [], suffix_dedup.materialised
+    monkeypatch.setattr(suffix_dedup, "materialised", lambda df, name: seen.append((name, w := whole(df, name))[0:1] + (w.count(),)) or w)
+    for copies in (5, 50, 200):
+        seen.append(("copies", copies))
+        texts = [base] * copies + [base[:450] + "x" + base[450:]]
+        check_suffix(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string"))
+    runs, now = [], None
+    for name, n in seen:
+        if name == "copies":
+            runs.append(now := {})
+        elif name not in ("anchors", "spans"):
+            now[name] = n
+    assert runs[0] == runs[1] == runs[2] and max(runs[0].values()) < 2000
+
+
 def test_suffix_dedup_splits_a_long_text(spark, monkeypatch):
     base = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(700))
     text = base + "".join(chr(65 + (i * i * 11 + i // 5) % 26) for i in range(3000)) + base[50:400]
