@@ -2,9 +2,12 @@
 
 Units are normalised (case folded, punctuation and white space collapsed) and named by 128-bit
 digests; digests are grouped globally with map-side combine, the occurrence that ranks first is
-kept, the others are removed, and their original offsets are returned. Units of fewer than
-``least_words`` words are no evidence: short sentences join the next long one of their line, and
-what stays short is never removed.
+kept, the others are removed, and their original offsets are returned. Units without a letter or digit
+are none. With ``least_words`` above 1, shorter units are no evidence: short sentences join the next long
+one of their line, and what stays short is never removed.
+
+Rows are named by their id and a hash of their text, so rows that share an id are documents of their own.
+They rank by id (rows without one last), then by that hash; rows that repeat whole are one document.
 
 Passages that repeat without being whole units are found exactly, at every word: a word goes when
 it lies in ``passage_words`` words that stand earlier too. A window of so many words is represented
@@ -24,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import Names, documents, materialised, mix, powers, text_chunks
+from nearkey.llm.shared import Names, discard, documents, materialised, mix, powers, text_chunks
 
-LEAST_WORDS = 8
+LEAST_WORDS = 1
+_LAST = (1 << 63) - 1
 #: Words of a window of the passages that go wherever they stand, and of the grams that represent it.
 PASSAGE_WORDS = 50
 GRAM_WORDS = 8
@@ -52,36 +56,43 @@ def units(text: str, kind: str, least_words: int) -> Iterator[tuple[int, int, st
                 cuts.append((start, piece.end()))
         for a, b in cuts:
             plain = _SKIP.sub(" ", text[a:b]).strip().casefold()
-            if plain.count(" ") + 1 >= least_words:
+            if plain and plain.count(" ") + 1 >= least_words:
                 yield a, b, plain
 
 
-def unit_digests(docs: DataFrame, kind: str, least_words: int) -> DataFrame:
-    """``(doc_id, start, end, d1, d2)``, a row per unit."""
+def named_rows(docs: DataFrame) -> DataFrame:
+    """``(doc_id, doc, text)``: the rank of a row (its id; without one, the last) and the hash that tells rows of one rank apart."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.coalesce(doc_id, F.lit(_LAST)).alias("doc_id"), F.xxhash64(doc_id, text).alias("doc"), text.alias("text"))
+
+
+def unit_digests(named: DataFrame, kind: str, least_words: int) -> DataFrame:
+    """``(doc_id, doc, start, end, d1, d2)``, a row per unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in text_chunks(batch, "text"):
                 rows, digests = [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                for i, text in enumerate(part.column("text").to_pylist()):
                     for a, b, plain in units(text or "", kind, least_words):
-                        rows.append((doc_id, a, b))
+                        rows.append((i, a, b))
                         digests.append(hashlib.blake2b(plain.encode(), digest_size=16).digest())
                 if rows:
-                    ids, starts, ends = (pa.array(list(x), pa.int64()) for x in zip(*rows))
+                    at, starts, ends = (np.array(x) for x in zip(*rows))
                     d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([ids, starts.cast(pa.int32()), ends.cast(pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "start", "end", "d1", "d2"])
+                    names = [part.column(c).to_numpy()[at] for c in ("doc_id", "doc")]
+                    arrays = [*names, starts.astype(np.int32), ends.astype(np.int32), d[:, 0].copy(), d[:, 1].copy()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc_id", "doc", "start", "end", "d1", "d2"])
 
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, start int, end int, d1 long, d2 long")
+    return named.mapInArrow(run, "doc_id long, doc long, start int, end int, d1 long, d2 long")
 
 
-def repeated_units(docs: DataFrame, kind: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, start, end)`` of every unit but the first of its text by (doc_id, start)."""
-    found = unit_digests(docs, kind, least_words)
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+def repeated_units(named: DataFrame, kind: str = "paragraph", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(doc_id, doc, start, end)`` of every unit but the first of its text by (doc_id, doc, start)."""
+    found = materialised(unit_digests(named, kind, least_words), "units")
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = materialised(first, "first-units")  # so that the join is over two shuffles, whose hot keys are split
-    return found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "end")
+    return found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "doc", "start") > F.col("first")).select("doc_id", "doc", "start", "end")
 
 
 _tables: list[np.ndarray] = []
@@ -131,19 +142,20 @@ class _Windows:
             least, size = np.minimum(least[:-more], least[more:]), size + more
         self.rep = least[: self.n]
 
-    def rows(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    def rows(self, part: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
         """A row per run of windows ``first`` to ``last``; ``at`` counts words, the rest code points."""
         doc, end = self.doc[first], last + self.words
-        arrays = [ids[doc], first - self.first[doc], last - first + 1, self.start[first] - self.begin[doc], self.end[end - 1] - self.begin[doc]]
+        ids, docs = (part.column(c).to_numpy()[doc] for c in ("doc_id", "doc"))
+        arrays = [ids, docs, first - self.first[doc], last - first + 1, self.start[first] - self.begin[doc], self.end[end - 1] - self.begin[doc]]
         names = [self.rep[first].view(np.int64), self.names.of(first, end).view(np.int64)]
-        types = [np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(arrays + names, types)], ["doc_id", "at", "n", "start", "end", "d1", "d2"])
+        types = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(arrays + names, types)], ["doc_id", "doc", "at", "n", "start", "end", "d1", "d2"])
 
 
-_RUN = "doc_id long, at int, n int, start int, end int, d1 long, d2 long"
+_RUN = "doc_id long, doc long, at int, n int, start int, end int, d1 long, d2 long"
 
 
-def passage_runs(docs: DataFrame, words: int) -> DataFrame:
+def passage_runs(named: DataFrame, words: int) -> DataFrame:
     """A row per run of consecutive windows with one representative ``d1``; ``d2`` names all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +165,14 @@ def passage_runs(docs: DataFrame, words: int) -> DataFrame:
                 at = np.flatnonzero(w.real)
                 if len(at):
                     cut = np.flatnonzero((np.diff(at) != 1) | (w.rep[at[1:]] != w.rep[at[:-1]]))
-                    yield w.rows(part.column("doc_id").to_numpy(), at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]])
+                    yield w.rows(part, at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]])
 
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, _RUN)
+    return named.mapInArrow(run, _RUN)
 
 
-def _windows_of(docs: DataFrame, runs: DataFrame, words: int) -> DataFrame:
+def _windows_of(named: DataFrame, runs: DataFrame, words: int) -> DataFrame:
     """A row per window of ``runs``, from the texts again."""
-    places = runs.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("places"))
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    places = runs.groupBy("doc_id", "doc").agg(F.collect_set(F.struct("at", "n")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,21 +180,22 @@ def _windows_of(docs: DataFrame, runs: DataFrame, words: int) -> DataFrame:
                 w = _Windows([t or "" for t in part.column("text").to_pylist()], words)
                 step = np.zeros(w.n + 1, np.int64)
                 for first, places in zip(w.first.tolist(), part.column("places").to_pylist()):
-                    for x in places:  # rows that share a doc_id have each other's places too
-                        step[min(first + x["at"], w.n)] += 1
-                        step[min(first + x["at"] + x["n"], w.n)] -= 1
+                    for x in places:
+                        step[first + x["at"]] += 1
+                        step[first + x["at"] + x["n"]] -= 1
                 at = np.flatnonzero((np.cumsum(step)[: w.n] > 0) & w.real)
                 if len(at):
-                    yield w.rows(part.column("doc_id").to_numpy(), at, at)
+                    yield w.rows(part, at, at)
 
-    return slim.join(places, "doc_id").mapInArrow(run, _RUN)
+    return named.join(places, ["doc_id", "doc"]).mapInArrow(run, _RUN)
 
 
 def _against_first(rows: DataFrame, words: int, name: str) -> DataFrame:
     """``rows`` with ``gone``: an equal row stands earlier and, in the same document, without overlap."""
-    first = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "doc", "at")).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     first = materialised(first, name)
-    later = (F.struct("doc_id", "at") > F.col("first")) & ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") >= F.col("first.at") + words))
+    other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("doc") != F.col("first.doc"))
+    later = (F.struct("doc_id", "doc", "at") > F.col("first")) & (other | (F.col("at") >= F.col("first.at") + words))
     return rows.join(first, ["d1", "d2"], "left").withColumn("gone", F.coalesce(later, F.lit(False))).drop("first")
 
 
@@ -195,15 +206,18 @@ def _met(runs: DataFrame, words: int, name: str) -> DataFrame:
     return runs.join(materialised(shared, name), "d1")
 
 
-def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
-    """``(doc_id, start, end)``, overlapping: all of ``words`` words that stand earlier by (doc_id, place) too."""
-    runs = materialised(_met(materialised(passage_runs(docs, words), "runs"), words, "shared-grams"), "shared-runs")
+def repeated_passages(named: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """``(doc_id, doc, start, end)``, overlapping: all of ``words`` words that stand earlier by (doc_id, doc, place) too."""
+    every = materialised(passage_runs(named, words), "runs")
+    runs = materialised(_met(every, words, "shared-grams"), "shared-runs")
+    discard(every)
     judged = materialised(_against_first(runs, words, "first-runs"), "judged-runs")
+    discard(runs)
     # what a run that goes whole could show of others, the first of its equals shows too, and earlier
     left = materialised(_met(judged.where("not gone").drop("gone"), words, "left-grams"), "left-runs")
-    windows = materialised(_windows_of(docs, left, words), "windows")
+    windows = materialised(_windows_of(named, left, words), "windows")
     found = judged.unionByName(_against_first(windows, words, "first-windows")).where("gone")
-    return found.select("doc_id", "start", "end")
+    return found.select("doc_id", "doc", "start", "end")
 
 
 def merged(spans: list[dict]) -> list[dict]:
@@ -217,19 +231,24 @@ def merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def remove_repeated(docs: DataFrame, kind: str = "sentence", least_words: int = LEAST_WORDS, passage_words: int | None = None) -> DataFrame:
-    """``docs`` with ``text`` cut and ``removed array<struct<start, end>>``, offsets in the original text.
+def remove_repeated(docs: DataFrame, kind: str = "paragraph", least_words: int = LEAST_WORDS, passage_words: int | None = None) -> DataFrame:
+    """``docs(doc_id, text, ..)`` with ``text`` cut and ``removed array<struct<start, end>>``, offsets in the original text.
 
-    Rows that share a doc_id are one document (equal units at one offset are all kept). Rows
-    without a doc_id are neither compared nor changed. Null stays null; an empty text stays empty.
-    With ``passage_words``, repeated passages of so many words go too; overlapping spans are one.
+    With ``passage_words``, repeated passages of so many words go too; overlapping spans are one. Rows
+    that share a doc_id are compared like any others; rows without one rank last; of rows that repeat whole, all keep
+    what the first of them keeps. Null stays null and an empty text empty, with nothing removed. A column
+    ``removed`` of ``docs`` is replaced, all others pass; an empty table gives no rows.
     """
-    found = repeated_units(docs, kind, least_words)
+    named = named_rows(docs)
+    found = repeated_units(named, kind, least_words)
     if passage_words is not None:
-        found = found.unionByName(repeated_passages(docs, passage_words))
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+        found = found.unionByName(repeated_passages(named, passage_words))
+    spans = found.groupBy(F.col("doc_id").alias("_rank"), F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_removed"))
+    spans = materialised(spans, "spans")
     columns = [c for c in docs.columns if c != "removed"]
-    joined = docs.select(*columns).join(spans, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
+    mine = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_own_rank"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_own_doc"))
+    joined = mine.join(spans, F.expr("_own_rank = _rank and _own_doc = _doc"), "left")
+    joined = joined.withColumn("removed", F.coalesce("_removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +272,7 @@ def remove_repeated(docs: DataFrame, kind: str = "sentence", least_words: int =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Paragraphs of any length, and repeated passages of ``PASSAGE_WORDS`` words; a line may repeat."""
     kept = remove_repeated(documents(spark, sf_dir).select("doc_id", "text", F.octet_length("text").alias("n_bytes")), passage_words=PASSAGE_WORDS)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     cut = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])

@@ -1,4 +1,3 @@
-import hashlib
 import re
 from collections import Counter
 
@@ -7,6 +6,7 @@ import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from nearkey.llm import line_dedup, simhash, suffix_dedup
+from pyspark.sql import functions as F
 
 from .conftest import SF, rows
 
@@ -150,30 +150,75 @@ def test_simhash_forest_connects_what_links_connect(spark):
         assert label == plain_components(fps)
 
 
-def check_lines(docs, kind="sentence", least=8):
-    got = {r["doc_id"]: (r["text"], [tuple(x) for x in r["removed"]]) for r in line_dedup.remove_repeated(docs, kind, least).collect() if r["doc_id"] is not None}
+def plain_units(text, kind, least):
+    """Lines, or runs of lines that are not blank; split and normalised without the library."""
+    at, pieces = 0, []
+    for line in text.split("\n"):
+        blank = not line.strip()
+        if kind == "line":
+            pieces.append((at, at + len(line)))
+        elif not blank:
+            lead = len(line) - len(line.lstrip())
+            if pieces and pieces[-1][2]:
+                pieces[-1] = (pieces[-1][0], at + len(line), True)
+            else:
+                pieces.append((at + lead, at + len(line), True))
+        elif pieces:
+            pieces[-1] = (*pieces[-1][:2], False)
+        at += len(line) + 1
+    for a, b, *_ in pieces:
+        words = "".join(c if c.isalnum() else " " for c in text[a:b]).casefold().split()
+        if words and len(words) >= least:
+            yield a, b, " ".join(words)
+
+
+def check_lines(docs, kind="paragraph", least=1, cut=plain_units):
+    rank = lambda d, t: (d is None, d or 0, t is not None, t or "")
+    got = {rank(r["doc_id"], r["_text"]): (r["text"], [tuple(x) for x in r["removed"]]) for r in line_dedup.remove_repeated(docs.withColumn("_text", docs["text"]), kind, least).collect()}
+    inputs = [tuple(r) for r in docs.select("doc_id", "text").distinct().withColumn("h", F.xxhash64("doc_id", "text")).collect()]
     seen = {}
-    inputs = sorted({(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if r["doc_id"] is not None}, key=lambda r: r[0])
-    for doc_id, text in inputs:
+    for doc_id, text, _ in sorted(inputs, key=lambda r: (r[0] is None, r[0] or 0, r[2])):
         removed = []
-        for a, b, plain in line_dedup.units(text or "", kind, least):
-            if seen.setdefault(hashlib.md5(plain.encode()).digest(), (doc_id, a)) != (doc_id, a):
+        for a, b, plain in cut(text or "", kind, least):
+            if seen.setdefault(plain, (doc_id, text, a)) != (doc_id, text, a):
                 removed.append((a, b))
         kept = text and "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in removed))
-        assert got[doc_id] == (kept, removed)
+        assert got[rank(doc_id, text)] == (kept, removed)
+    assert len(got) == len(inputs)
 
 
 def test_lines_of_a_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for kind in ("line", "paragraph", "sentence"):
+    for kind in ("line", "paragraph"):
         check_lines(docs, kind)
+    check_lines(docs, "sentence", 8, line_dedup.units)
+
+
+def test_paragraphs_and_lines_of_hard_texts(spark):
+    texts = ["a b\nc\n\n d e\n", "A, b\nC!\n\nx", "d e", "--\n\n--", "a b c\n \nd  e\n \n", "c", "C\nc\nc\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kind in ("line", "paragraph"):
+        check_lines(docs, kind)
+        check_lines(docs, kind, 2)
 
 
 def test_lines_of_odd_rows(odd_docs, no_docs):
     check_lines(odd_docs)
+    check_lines(odd_docs, "line")
     assert line_dedup.remove_repeated(no_docs).count() == 0
     assert line_dedup.remove_repeated(odd_docs).count() == odd_docs.count()
-    assert line_dedup.remove_repeated(odd_docs).columns == [*odd_docs.columns, "removed"]
+    assert line_dedup.remove_repeated(odd_docs, passage_words=5).columns == [*odd_docs.columns, "removed"]
+
+
+def test_rows_that_share_an_id_are_their_own(spark):
+    line = "a sentence of more than eight words that is repeated in other rows"
+    other = "a wholly different text that is nowhere repeated in any of these rows"
+    docs = spark.createDataFrame([(1, line), (5, line), (5, other), (5, None), (None, line), (None, None), (7, other + "\n" + line)], "doc_id long, text string")
+    for kind in ("line", "paragraph"):
+        check_lines(docs, kind)
+    key = lambda r: [(x is not None, x) for x in r]
+    got = sorted((tuple(r) for r in line_dedup.remove_repeated(docs, passage_words=10).select("doc_id", "text").collect()), key=key)
+    assert got == [(None, None), (None, ""), (1, line), (5, None), (5, ""), (5, other), (7, "\n")]
 
 
 def passages(texts, length):
@@ -191,7 +236,8 @@ def passages(texts, length):
 
 
 def check_passages(spark, texts, length):
-    found = line_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length).collect()
+    named = line_dedup.named_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = line_dedup.repeated_passages(named, length).collect()
     got = [np.zeros(len(t), bool) for t in texts]
     for r in found:
         got[r["doc_id"]][r["start"] : r["end"]] = True
