@@ -66,9 +66,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
     Both have ``vec_id`` and ``embedding``; other columns are ignored. Vectors that are null, zero
     or hold null or non-finite components, and rows without an id, take no part; only vectors of
     one dimension are compared. Rows with the query's id are its own and no candidates. Ties go to
-    the smaller id; a query id that repeats has one list; no rows in, no rows out.
+    the smaller id; candidate rows that repeat count each. A query id that repeats has one list: of its
+    vectors the least in array order asks. No rows in, no rows out.
     """
     every, asked = materialised(usable(vectors), "vectors"), usable(queries)
+    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     blocks = max(1, -(-every.count() // block))
     query_blocks = max(1, -(-asked.count() // query_block))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")

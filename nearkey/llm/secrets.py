@@ -41,7 +41,7 @@ class Rule:
 BASE_RULES = (
     Rule("assign", "(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8, 2, True),
     Rule("access", "AKIA[A-Z0-9]+", 16),
-    Rule("hex", "[0-9a-f]+", 32),
+    Rule("hex", "[0-9a-f]{32,}", 32),  # a greedy run of 32 or more is the maximal run
 )
 #: Further rules, whose spans are only listed.
 MORE_RULES = (
@@ -157,7 +157,8 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[st
 
     Spans are in code points, end exclusive, ordered by start and then by the rules' order. With
     ``redact``, a ``text`` column follows in which each span (overlapping ones united) is replaced
-    by that string. Null or empty texts have no spans; a null text stays null.
+    by that string. Null or empty texts have no spans; a null text stays null. Rows that repeat have each
+    their spans; columns not in ``carry`` are ignored, and ``name`` and ``text`` must not be in it.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for c in q for s in c for g in s})

@@ -3,9 +3,11 @@ and stems of words.
 
 (McMahan et al., "Ad Click Prediction", 2013.) Each coordinate has its own rate, and L1 keeps all
 but the telling ones at zero. Training sees a bounded, documented sample of the labelled rows
-(``SAMPLE_ROWS``, chosen by hash), dealt to ``SHARDS`` tasks that each make one online pass; their
-sparse weights are averaged (parameter mixing). The weights are bounded by ``2 ** BITS`` entries
-whatever the corpus, so they are broadcast; scoring is one pass over whole texts with no shuffle.
+(``SAMPLE_ROWS``, chosen by hash) in ``PASSES`` online passes, at every input size alike. An online pass is
+sequential, so one task makes it (``SHARDS`` above 1 trains side by side and averages the weights, at
+some recall); its time is bounded by the sample, and it holds one chunk of texts. The weights are
+bounded by ``2 ** BITS`` entries whatever the corpus, so they are broadcast; scoring is one pass over whole
+texts with no shuffle.
 """
 
 from __future__ import annotations
@@ -23,15 +25,14 @@ BITS = 20
 #: Bytes of a word's stems.
 STEMS = (4, 6, 7)
 #: The bound of the training sample, in rows.
-SAMPLE_ROWS = 16_000
-#: One pass over the bounded sample; more shards train side by side, at some recall (README).
+SAMPLE_ROWS = 6_000
+#: Online passes over the sample, whatever its size.
+PASSES = 2
 SHARDS = 1
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1.0
 THRESHOLD = 0.3
 #: Rows of label 1, of all, that the rate counts beside the sample's.
 PRIOR = (1, 10)
-#: Online passes over a sample that is smaller than its bound: as many as fit the bound's steps, at most so many.
-PASSES = 3
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -94,12 +95,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
     """Sparse weights ``(index, weight, intercept)`` from ``labels(doc_id, toxic)``.
 
     Rows with a null doc_id or label are not learnt from; of several labels of a document the
     largest counts. The sample (ids and labels only) has at most ``sample_rows`` rows. Scores start
-    from its rate of label 1, smoothed by ``PRIOR``, so few labels or none condemn nothing.
+    from its rate of label 1, smoothed by ``PRIOR``, so few labels or none condemn nothing. Document rows
+    that repeat, or share a doc_id, are learnt from each; null and empty texts by the intercept alone.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
@@ -108,7 +110,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
     seen = sample.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("int")).alias("toxic")).first()
     rate = ((seen["toxic"] or 0) + PRIOR[0]) / (seen["n"] + PRIOR[1])
     base = float(np.log(rate / (1 - rate)))
-    passes = max(1, min(PASSES, sample_rows // max(1, seen["n"])))
     rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``carry`` columns and ``name`` per row; an empty or null text scores as the intercept does."""
+    """``carry`` columns and ``name`` per row of ``docs(text, ..)``; an empty or null text scores as the intercept does.
+
+    A row's score depends on its text alone, so repeated rows score alike; columns not in ``carry`` are
+    ignored, and ``name`` must not be one of them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 

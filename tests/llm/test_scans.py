@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 
@@ -69,6 +70,52 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(h == (zlib.crc32(str(d).encode()) % 4 == 2) for d, h in scored.select("doc_id", "held_out").limit(200).collect())
 
 
+def plain_features(text):
+    words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+    out = set(words) | {("two", *x) for x in zip(words, words[1:])} | {("skip", *x) for x in zip(words, words[2:])}
+    return out | {("stem", n, w[:n]) for w in words for n in (4, 6, 7) if len(w) > n} | {"intercept"}
+
+
+def plain_ftrl(steps, base):
+    """The published update, coordinate by coordinate; steps of (text, label)."""
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= toxicity.L1:
+            return 0.0
+        return -(z[f] - math.copysign(toxicity.L1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    def predict(text):
+        return 1 / (1 + math.exp(-(base + sum(weight(f) for f in plain_features(text)))))
+
+    for text, label in steps:
+        g = predict(text) - label
+        for f, w in {f: weight(f) for f in plain_features(text)}.items():
+            sigma = (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA
+            z[f] = z.get(f, 0.0) + g - sigma * w
+            n[f] = n.get(f, 0.0) + g * g
+    return predict
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    rng = np.random.default_rng(8)
+    words = ["vile", "Horrible", "nastiness", "kindly", "weather", "garden", "h\u00e9llo", "walking", "xyz"]
+    data = [(i, " ".join(rng.choice(words[3 * (i % 2) :], 12)), i % 2) for i in range(70)] + [(70, None, 0), (71, "", 1)]
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1 - r[2]) for r in data], "doc_id long, toxic int")
+    learnt = docs.join(labels, "doc_id").where(~toxicity.held_out(F.col("doc_id")))
+    assert 40 < learnt.count() < 72
+    steps = []
+    for n in range(1, toxicity.PASSES + 1):
+        steps += [(r["text"], r["toxic"]) for r in learnt.orderBy(F.xxhash64("doc_id", F.lit(n)), "doc_id").collect()]
+    rate = (learnt.where("toxic = 1").count() + toxicity.PRIOR[0]) / (learnt.count() + toxicity.PRIOR[1])
+    predict = plain_ftrl(steps, math.log(rate / (1 - rate)))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert len({round(x, 3) for x in got.values()}) > 10
+    for doc_id, text, _ in data:
+        assert abs(got[doc_id] - predict(text)) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (7, 0), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd_docs, labels)
