@@ -2,9 +2,11 @@
 
 Records are gzip members of WARC/1.1 files in the shared folder, one file a task (attempts have
 names of their own; only a successful attempt's files are in the index). The index is sorted by
-reversed-host URL keys and cut into compressed blocks; a sparse directory has one row a block.
-A lookup binary-searches the directory, reads the blocks that can hold its keys by range, and
-then the records by range. Files are opened through the file system that the folder's URI names.
+reversed-host URL keys and cut into compressed blocks, some thousand captures each; beside every index file
+lies its sparse directory, a line a block. A lookup sorts its keys, finds the index file of a key by binary search
+in the files' first and last keys (a row per index partition, so bounded by a setting and broadcast),
+the block by binary search in that file's directory, reads the blocks by range, and then the records by
+range. Files are opened through the file system that the folder's URI names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -28,8 +31,8 @@ LEAST_PAYLOAD = 100
 BLOCK_ENTRIES = 2000
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
-#: A directory of at most so many blocks is searched in memory; a larger one is joined.
-DIRECTORY_BLOCKS = 200_000
+#: Compressed bytes of records that one task reads, about.
+READ_BYTES = 64 << 20
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ENTRY = "url_key string, page_id long, file string, at long, bytes long"
 
@@ -110,7 +113,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
 
     Of equal payloads of ``least`` bytes or more the smallest page_id's is the response (every row
     of that id, if it repeats), the others revisit it; rows without a page_id come last. A null
-    html is an empty payload.
+    html is an empty payload, a null or malformed url is kept as it is under a key of its own; rows that
+    repeat are captures each; other columns are ignored; no rows, no files.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -141,16 +145,16 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
 
 
 def build_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """Sorts ``entries`` into compressed blocks; returns the block directory (materialised).
+    """Sorts ``entries`` into compressed blocks and writes each index file's directory beside it.
 
-    ``(first_key, last_key, file, at, bytes, entries)``, one row a block.
+    Returns the directories (materialised): ``(first_key, last_key, file, at, bytes, entries)``, a row a block.
     """
     base = _uri(folder)
     partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = entries.repartitionByRange(partitions, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, name, lines = None, 0, f"{base}/part-{uuid.uuid4().hex}.cdxj.gz", []
+        out, at, name, lines, blocks = None, 0, f"{base}/part-{uuid.uuid4().hex}.cdxj.gz", [], []
 
         def flush():
             nonlocal out, at, lines
@@ -159,6 +163,7 @@ def build_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTR
             block = packer.compress("".join(f"{k} {json.dumps(rest)}\n" for k, *rest in lines).encode()) + packer.flush()
             out.write(block)
             row = [[lines[0][0]], [lines[-1][0]], [name], [at], [len(block)], [len(lines)]]
+            blocks.append((lines[0][0], lines[-1][0], at, len(block)))
             at, lines = at + len(block), []
             return pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["first_key", "last_key", "file", "at", "bytes", "entries"])
 
@@ -171,10 +176,29 @@ def build_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTR
             yield flush()
         if out is not None:
             out.close()
+            with _open(_directory(name), write=True) as f:
+                f.write("".join(json.dumps(b) + "\n" for b in blocks).encode())
 
     return materialised(ordered.mapInArrow(run, "first_key string, last_key string, file string, at long, bytes long, entries long"), "directory")
 
 
+def _directory(index_file: str) -> str:
+    return index_file.removesuffix(".cdxj.gz") + ".directory.jsonl"
+
+
+class _Blocks:
+    """The directory of one index file, to be searched by key."""
+
+    def __init__(self, index_file: str):
+        with _open(_directory(index_file)) as f:
+            rows = [json.loads(line) for line in f.read().splitlines()]
+        self.firsts, self.lasts = [r[0] for r in rows], [r[1] for r in rows]
+        self.places = [(index_file, r[2], r[3]) for r in rows]
+
+    def of(self, key: str) -> list[tuple[str, int, int]]:
+        return self.places[bisect.bisect_left(self.lasts, key) : bisect.bisect_right(self.firsts, key)]
+
+
 def _block(file: str, at: int, n: int) -> list[tuple]:
     with _open(file) as f:
         f.seek(at)
@@ -198,40 +222,49 @@ def index_entries(blocks: DataFrame) -> DataFrame:
     return blocks.repartition("file", "at").select("file", "at", "bytes").mapInArrow(run, _ENTRY)
 
 
-def lookup(directory: DataFrame, urls: DataFrame, most_blocks: int = DIRECTORY_BLOCKS) -> DataFrame:
-    """Index entries of the captures of ``urls(url)``.
+def url_keys(urls: DataFrame) -> DataFrame:
+    """``(url_key)`` of ``urls(url)``, each once."""
 
-    The sparse directory is binary-searched in memory while it has at most ``most_blocks`` rows
-    (its size is counted first); beyond that, keys meet blocks by a range join.
-    """
-    named = F.udf(url_key, "string")
-    keys = urls.select(named("url").alias("url_key")).distinct()
-    if directory.count() <= most_blocks:
-        rows = directory.orderBy("first_key").collect()
-        firsts, lasts = [r["first_key"].encode() for r in rows], [r["last_key"].encode() for r in rows]
-        places = [(r["file"], r["at"], r["bytes"]) for r in rows]
-        held = directory.sparkSession.sparkContext.broadcast((firsts, lasts, places))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            firsts, lasts, places = held.value
-            for batch in batches:
-                found = []
-                for key in batch.column("url_key").to_pylist():
-                    for i in range(bisect.bisect_left(lasts, key.encode()), bisect.bisect_right(firsts, key.encode())):
-                        found.append((key, *places[i]))
-                if found:
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], ["url_key", "file", "at", "bytes"])
-
-        wanted = keys.mapInArrow(search, "url_key string, file string, at long, bytes long")
-    else:
-        wanted = keys.join(directory, F.expr("url_key between first_key and last_key")).select("url_key", "file", "at", "bytes")
-    entries = index_entries(wanted.select("file", "at", "bytes").distinct())
-    return entries.join(keys, "url_key", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())], ["url_key"])
+
+    return urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(run, "url_key string").distinct()
+
+
+def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
+    """Index entries of the captures of ``urls(url)``, by binary search; a null url finds captures without one."""
+    files = directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("first", "last").collect()
+    held = directory.sparkSession.sparkContext.broadcast(([r["first"] for r in files], [r["last"] for r in files], [r["file"] for r in files]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, names = held.value
+        blocks: dict[str, _Blocks] = {}  # keys come sorted: the directories of a key's files, and no others, are held
+        last = None
+        for batch in batches:
+            found = []
+            for key in batch.column("url_key").to_pylist():
+                near = names[bisect.bisect_left(lasts, key) : bisect.bisect_right(firsts, key)]
+                blocks = {f: blocks.get(f) or _Blocks(f) for f in near}
+                for place in chain.from_iterable(blocks[f].of(key) for f in near):
+                    if place != last:
+                        found.append(place)
+                        last = place
+            if found:
+                kinds = (pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found), kinds)], ["file", "at", "bytes"])
+
+    keys = materialised(url_keys(urls), "keys")
+    ordered = keys.repartitionByRange("url_key").sortWithinPartitions("url_key")
+    blocks = ordered.mapInArrow(search, "file string, at long, bytes long").distinct()
+    return index_entries(blocks).join(keys, "url_key", "left_semi")
 
 
 def read_captures(entries: DataFrame) -> DataFrame:
-    """The records of index entries, read by range and in file order."""
+    """The records of index entries, read by range and in file order; tasks get about equal bytes."""
+    entries = materialised(entries, "wanted")
+    total = entries.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // READ_BYTES))
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -255,7 +288,7 @@ def read_captures(entries: DataFrame) -> DataFrame:
         if f is not None:
             f.close()
 
-    return entries.repartition("file").sortWithinPartitions("file", "at").select("file", "at", "bytes").mapInArrow(run, schema)
+    return entries.repartitionByRange(tasks, "file", "at").sortWithinPartitions("file", "at").select("file", "at", "bytes").mapInArrow(run, schema)
 
 
 def _records(rows: list[dict], names: list[str]) -> pa.RecordBatch:
@@ -271,8 +304,10 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, Dat
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    _, directory = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    read = read_captures(index_entries(directory))
+    """Archives all pages and reads each back by its URL, through the index."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    _, directory = archive(pages)
+    read = read_captures(lookup(directory, pages))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
