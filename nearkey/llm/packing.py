@@ -3,9 +3,10 @@
 Bulk-synchronous best-fit: documents and gaps are ordered by size, every sweep gives the largest
 unplaced documents the smallest gaps that hold them (their successors), conflicts are resolved by
 rank, gaps shrink, and the sweep repeats. Documents of one length, and gaps of one size, are
-interchangeable, so a sweep is a statement about size classes and rank ranges: the sweeps run over
+interchangeable, so a sweep is a statement about size classes and rank ranges: the sweeps run on the driver over
 the length histogram (at most ``capacity`` rows whatever the corpus), and what is distributed is
-all that grows with it: tokenising, ranking within a length, and placing by (length, rank).
+all that grows with it: tokenising, ranking within a length, and placing by (length, rank). Sweeps over the rows
+themselves would be a Spark round for every document that the fullest sequence holds.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ TOKENIZER = "word_bpe_49k.json"
 CACHED_WORDS = 500_000
 #: Rows of one length that one task ranks, about.
 RANK_ROWS = 250_000
+#: Buckets, at least, over which rows that are alike in all columns spread.
+SLOTS = 256
 
 _PLAIN = [chr(c) for c in range(0x180)]  # no combining marks: such text is its own NFC form
 _LETTERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "L")
@@ -175,19 +178,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Repeated rows are packed each. The length histogram has at most ``capacity`` rows, so the
     placement plan has a bound of its own and is broadcast.
     """
-    pieces = materialised(pieces, "pieces")
+    columns = pieces.columns
+    # rows of one id (or none) and one text are told apart by their place, so that none of them gather in one bucket
+    slot = F.xxhash64(*[c for c in ("doc_id", "piece", "ids_crc32") if c in columns], F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)))
+    pieces = materialised(pieces.withColumn("_slot", slot), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     spark = pieces.sparkSession
     buckets = int(min(1 << 20, max(16, sum(counts.values()) // RANK_ROWS)))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = pieces.withColumn("bucket", F.pmod("_slot", F.lit(buckets)).cast("int"))
     by = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(by), F.lit(0)).alias("before"))
-    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    order = [c for c in ("doc_id", "piece", "start", "ids_crc32", "_slot") if c in pieces.columns]
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order))).join(before, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before")).drop("bucket", "before")
     plan = spark.createDataFrame(best_fit(counts, capacity), "length long, r0 long, r1 long, first long, offset long")
     placed = ranked.join(F.broadcast(plan.withColumnRenamed("length", "size")), F.expr("length = size and rank >= r0 and rank < r1"))
-    return placed.select(*pieces.columns, (F.col("first") + F.col("rank") - F.col("r0")).alias("sequence_id"), "offset")
+    return placed.select(*columns, (F.col("first") + F.col("rank") - F.col("r0")).alias("sequence_id"), "offset")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

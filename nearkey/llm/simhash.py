@@ -1,12 +1,15 @@
 """Near-duplicates by SimHash, with links found by tiled exact comparison.
 
 Fingerprints are the contract's: ASCII letters lower-cased, words ``[^\\x20\\x09-\\x0D]+``, XXH64
-(seed 42) of every run of three words, majority per bit. Links are exact: two fingerprints within
-three bits agree in one of four 16-bit quarters, so rows are dealt by (quarter, value). Inside
-such a bucket, numpy compares tiles by exclusive-or and bit counts. A bucket beyond ``TILE`` rows is
-cut into tiles by population count (and a hash slot), and tile pairs whose counts differ by more
-than the radius are never formed; each remaining pair is a work unit of its own, so a hot bucket
-spreads over the cluster. A unit returns a spanning forest of its links, not all pairs.
+(seed 42) of every run of three words, majority per bit. Numpy compares tiles of fingerprints by
+exclusive-or and bit counts. Rows are tiled by population count, and pairs of tiles whose counts differ by
+more than the radius are not compared: such fingerprints cannot be within it.
+
+Population counts lie close together, so over a whole table that skip alone would leave a constant share of
+all pairs. Two fingerprints within three bits agree in one of four 16-bit quarters, so rows are dealt by
+(quarter, value) first and tiled inside. A bucket beyond ``TILE`` rows is cut into tiles that are work units of
+their own, by count and a hash slot, so a hot bucket spreads over the cluster. A unit returns a
+spanning forest of its links, not all pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from nearkey.llm.shared import documents, id_and_text, materialised, text_chunks
 RADIUS = 3
 #: Rows of a tile; 2,048 squared links are 4 MB as booleans.
 TILE = 2048
+#: Rows of the tiles that one task compares inside a smaller bucket.
+INNER_TILE = 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LANES = np.uint64(0x0101010101010101)
 
@@ -98,18 +103,29 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
 
 
-def _bucket_links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links inside runs of equal ``key``; short runs together by shifts, long ones as tiles."""
+def _bucket_links(key: np.ndarray, pc: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, tile: int = INNER_TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links inside runs of equal ``key``, rows sorted by (key, population count).
+
+    Runs of up to 32 rows are compared side by side, each row with the next ones whose counts are within the
+    radius; longer ones as pairs of tiles.
+    """
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[cut, len(key)])
     short = np.repeat(sizes <= 32, sizes)
-    k, n, f = key[short], node[short], fp[short]
-    for d in range(1, int(sizes[sizes <= 32].max(initial=1))):
-        hit = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= radius))
+    k, c, n, f = key[short], pc[short], node[short], fp[short]
+    for d in range(1, 32):
+        near = np.flatnonzero((k[d:] == k[:-d]) & (c[d:] - c[:-d] <= radius))
+        if not len(near):  # nor farther on, as counts rise
+            break
+        hit = near[np.bitwise_count(f[near + d] ^ f[near]) <= radius]
         yield n[hit], n[hit + d]
     for at, size in zip(cut[sizes > 32], sizes[sizes > 32]):
-        n, f = node[at : at + size], fp[at : at + size]
-        yield _forest(_near(f, f, radius), n, n)
+        tiles = [slice(x, min(x + tile, at + size)) for x in range(at, at + size, tile)]
+        for i, one in enumerate(tiles):
+            for two in tiles[i:]:
+                if pc[two.start] - pc[one.stop - 1] > radius:
+                    break
+                yield _forest(_near(fp[one], fp[two], radius), node[one], node[two])
 
 
 def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -117,26 +133,26 @@ def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     if radius > 3:
         raise ValueError("four quarters prove links of at most three bits")
     quarters = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(65535)).alias("v")) for i in range(4)])
-    rows = reps.withColumn("q", F.explode(quarters)).select((F.col("q.i") * 65536 + F.col("q.v")).alias("key"), "node", "fp")
+    rows = reps.withColumn("q", F.explode(quarters)).select((F.col("q.i") * 65536 + F.col("q.v")).alias("key"), F.bit_count("fp").cast("int").alias("pc"), "node", "fp")
     hot = materialised(rows.groupBy("key").count().where(F.col("count") > tile).select("key"), "crowded")
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            got = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "node", "fp"))]
+            got = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, ("key", "pc", "node", "fp"))]
             to = int(np.searchsorted(got[0], got[0][-1])) if len(got[0]) else 0  # the last bucket may go on
             held = [x[to:] for x in got]
             yield from out(*(x[:to] for x in got))
         yield from out(*held)
 
-    def out(key, node, fp):
+    def out(key, pc, node, fp):
         if len(key):
-            for a, b in _bucket_links(key, node, fp.view(np.uint64), radius):
+            for a, b in _bucket_links(key, pc, node, fp.view(np.uint64), radius):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    found = rows.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(cold, "a long, b long")
+    found = rows.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "pc").mapInArrow(cold, "a long, b long")
 
-    crowded = rows.join(hot, "key").withColumn("pc", F.bit_count("fp"))
+    crowded = rows.join(hot, "key")
     tiles = crowded.groupBy("key", "pc").agg(F.ceil(F.count("*") / tile).cast("int").alias("slots"))
     crowded = crowded.join(tiles, ["key", "pc"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
     one = tiles.select("key", F.col("pc").alias("pc1"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("s1"))
