@@ -176,9 +176,9 @@ def repeated_spans(named: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """``(doc, start, end)`` of ``named(doc, text)``: bytes under windows that start more than once; spans may overlap."""
     rows = materialised(anchor_rows(named, length, gram), "anchors")
     twice = materialised(rows.groupBy("rank").count().where("count > 1").select("rank"), "grams")
-    live = rows.join(twice, "rank", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n"))
-    past, again = _rerank(live.withColumn("settled", F.lit(False)), ["rank"], "ranked")
-    discard(rows, twice)
+    live = materialised(rows.join(twice, "rank", "left_semi"), "live")  # an aggregate over this join would keep a hot rank together
+    past, again = _rerank(live.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("settled", F.lit(False)), ["rank"], "ranked")
+    discard(rows, twice, live)
     every = [past]
     text = rows = materialised(contexts(named, again, length).withColumn("to", F.col("hi")), "contexts")
     for size in BLOCKS:
