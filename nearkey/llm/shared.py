@@ -115,6 +115,13 @@ class Names:
         lengths = (end - start).astype(np.uint64)
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
+    def all(self, width: int) -> np.ndarray:
+        """Names of all strings of ``width`` bytes, by start, without index arrays."""
+        out = self.sums[width:] - self.sums[:-width]
+        out *= self.down[: len(out)]
+        out += np.uint64(width * 0xD6E8FEB86659FD93 & _MASK)
+        return mix(out)
+
 
 # --- groups of a sorted stream ---------------------------------------------------------------
 

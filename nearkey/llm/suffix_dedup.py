@@ -36,7 +36,8 @@ from nearkey.llm.shared import Names, discard, documents, materialised, mix, tex
 LENGTH = 200
 GRAM = 64
 BLOCKS = (16, 4, 1)
-SEGMENT = 1 << 20
+#: Bytes of text that are ranked at a time: a worker holds some 100 bytes a byte, and an executor has several workers.
+SEGMENT = 1 << 18
 _LOW = np.uint64((1 << 28) - 1)
 
 
@@ -60,9 +61,8 @@ def anchors(buffer: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     if len(buffer) < length:
         return (empty,) * 4 + (empty.view(np.uint64),) * 2
     names = Names(buffer)
-    at = np.arange(len(buffer) - gram + 1)
-    ranks = names.of(at, at + gram)
-    least = _least_over((ranks & ~_LOW) | at.astype(np.uint64), length - gram + 1)
+    ranks = names.all(gram)
+    least = _least_over((ranks & ~_LOW) | np.arange(len(ranks), dtype=np.uint64), length - gram + 1)
     anchor = (least & _LOW).astype(np.int64)
     start = np.arange(len(anchor))
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(start)]
