@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from nearkey.folders import checkpointed, shared_folder, shared_path  # noqa: F401
 
-#: Bytes of text that a task's numpy work holds at a time (a longer single text goes alone).
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that a task's numpy work holds at a time (a longer single text goes alone): it takes some 100 bytes a byte, and an executor has several workers.
+CHUNK_BYTES = 1 << 19
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
