@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import Names, discard, documents, materialised, mix, powers, text_chunks
+from nearkey.llm.shared import Names, discard, documents, in_tasks, materialised, mix, powers, text_chunks
 
 LEAST_WORDS = 1
 _LAST = (1 << 63) - 1
@@ -84,7 +84,7 @@ def unit_digests(named: DataFrame, kind: str, least_words: int) -> DataFrame:
                     arrays = [*names, starts.astype(np.int32), ends.astype(np.int32), d[:, 0].copy(), d[:, 1].copy()]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["doc_id", "doc", "start", "end", "d1", "d2"])
 
-    return named.mapInArrow(run, "doc_id long, doc long, start int, end int, d1 long, d2 long")
+    return in_tasks(named, run, "doc_id long, doc long, start int, end int, d1 long, d2 long")
 
 
 def repeated_units(named: DataFrame, kind: str = "paragraph", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -167,7 +167,7 @@ def passage_runs(named: DataFrame, words: int) -> DataFrame:
                     cut = np.flatnonzero((np.diff(at) != 1) | (w.rep[at[1:]] != w.rep[at[:-1]]))
                     yield w.rows(part, at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]])
 
-    return named.mapInArrow(run, _RUN)
+    return in_tasks(named, run, _RUN)
 
 
 def _windows_of(named: DataFrame, runs: DataFrame, words: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _windows_of(named: DataFrame, runs: DataFrame, words: int) -> DataFrame:
                 if len(at):
                     yield w.rows(part, at, at)
 
-    return named.join(places, ["doc_id", "doc"]).mapInArrow(run, _RUN)
+    return in_tasks(named.join(places, ["doc_id", "doc"]), run, _RUN)
 
 
 def _against_first(rows: DataFrame, words: int, name: str) -> DataFrame:
@@ -268,7 +268,7 @@ def remove_repeated(docs: DataFrame, kind: str = "paragraph", least_words: int =
             yield batch.set_column(len(columns), "removed", pa.array(cuts, batch.schema.field("removed").type))
 
     result = joined.select(*columns, "removed")
-    return result.mapInArrow(run, result.schema)
+    return in_tasks(result, run, result.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import documents, id_and_text, materialised, text_chunks
+from nearkey.llm.shared import documents, id_and_text, in_tasks, materialised, text_chunks
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return id_and_text(docs).mapInArrow(run, schema)
+    return in_tasks(id_and_text(docs), run, schema)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from re import _parser as sre
 
-from nearkey.llm.shared import documents, text_chunks
+from nearkey.llm.shared import documents, in_tasks, text_chunks
 
 
 @dataclass(frozen=True)
@@ -184,7 +184,7 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[st
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{name}` array<struct<kind:string,start:long,end:long>>" + (", text string" if redact is not None else "")
-    return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return in_tasks(docs.select(*carry, F.col("text").cast("string").alias("_text")), run, schema)
 
 
 def _redacted(text: str, spans: list[tuple[int, int, int]], by: str) -> str:

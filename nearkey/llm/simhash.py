@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkey.llm.components import connected_components
-from nearkey.llm.shared import documents, id_and_text, materialised, text_chunks
+from nearkey.llm.shared import documents, id_and_text, in_tasks, materialised, text_chunks
 
 RADIUS = 3
 #: Rows of a tile; 2,048 squared links are 4 MB as booleans.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 flat = np.fromiter((h for x in lists for h in x), np.uint64, int(counts.sum()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(majority(flat, counts).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return in_tasks(id_and_text(docs).withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, fp long")
 
 
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

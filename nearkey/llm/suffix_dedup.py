@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import Names, discard, documents, materialised, mix, text_chunks
+from nearkey.llm.shared import Names, discard, documents, in_tasks, materialised, mix, text_chunks
 
 LENGTH = 200
 GRAM = 64
@@ -98,7 +98,7 @@ def anchor_rows(named: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     arrays = [rank.view(np.int64), whole.view(np.int64), doc[row], (anchor + base).astype(np.int32), (anchor - last).astype(np.int32), (anchor - first).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rank", "whole", "doc", "at", "lo", "hi"])
 
-    return named.select("doc", "text").mapInArrow(run, "rank long, whole long, doc long, at int, lo int, hi int")
+    return in_tasks(named.select("doc", "text"), run, "rank long, whole long, doc long, at int, lo int, hi int")
 
 
 def contexts(named: DataFrame, left: DataFrame, length: int) -> DataFrame:
@@ -118,7 +118,7 @@ def contexts(named: DataFrame, left: DataFrame, length: int) -> DataFrame:
                 arrays = [pa.array(part.column("doc").to_numpy()[row]), pa.array(at), pa.array(lo), pa.array(hi), flat.field("rank"), flat.field("settled"), pa.array([data[a:b] for a, b in zip(start, end)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc", "at", "lo", "hi", "rank", "settled", "bytes"])
 
-    return joined.mapInArrow(run, "doc long, at int, lo int, hi int, rank long, settled boolean, bytes binary")
+    return in_tasks(joined, run, "doc long, at int, lo int, hi int, rank long, settled boolean, bytes binary")
 
 
 def block_rows(rows: DataFrame, size: int, length: int, gram: int) -> DataFrame:
@@ -147,7 +147,7 @@ def block_rows(rows: DataFrame, size: int, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rank", "inner", "whole", "doc", "at", "lo", "hi", "settled"])
 
     schema = "rank long, inner long, whole long, doc long, at int, lo int, hi int, settled boolean"
-    return rows.select("doc", "at", "lo", "hi", "rank", "settled", "to", "bytes").mapInArrow(run, schema)
+    return in_tasks(rows.select("doc", "at", "lo", "hi", "rank", "settled", "to", "bytes"), run, schema)
 
 
 def _rerank(rows: DataFrame, group: list[str], name: str) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +231,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, car
                 yield pa.RecordBatch.from_arrays(arrays, [*carry, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept {'string' if digest else 'binary'}"
-    return joined.mapInArrow(run, schema)
+    return in_tasks(joined, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

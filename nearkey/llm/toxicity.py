@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import Names, documents, id_and_text, materialised, mix, text_chunks
+from nearkey.llm.shared import Names, documents, id_and_text, in_tasks, materialised, mix, text_chunks
 
 BITS = 20
 #: Bytes of a word's stems.
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
 
     steps = rows.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
-    learnt = steps.repartition(shards, "shard").sortWithinPartitions("shard", "pass", F.xxhash64("doc_id", "pass"), "doc_id").mapInArrow(run, "at long, w double")
+    learnt = in_tasks(steps.repartition(shards, "shard").sortWithinPartitions("shard", "pass", F.xxhash64("doc_id", "pass"), "doc_id"), run, "at long, w double")
     mean = learnt.groupBy("at").agg((F.sum("w") / shards).alias("w")).orderBy("at").toArrow()
     at, w = mean.column("at").to_numpy(), mean.column("w").to_numpy()
     return at[at < 2**BITS], w[at < 2**BITS], base + float(w[at == 2**BITS].sum())
@@ -138,8 +138,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: t
     """``carry`` columns and ``name`` per row of ``docs(text, ..)``; an empty or null text scores as the intercept does.
 
     A row's score depends on its text alone, so repeated rows score alike; columns not in ``carry`` are
-    ignored, and ``name`` must not be one of them.
+    ignored, and ``name`` must not be one of them. A ``text`` in ``carry`` goes to the workers only once.
     """
+    text = "text" if "text" in carry else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
@@ -148,14 +149,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: t
         weights = np.zeros(2**BITS)
         weights[at] = w
         for batch in batches:
-            for part, buffer, offsets in text_chunks(batch, "_text"):
+            for part, buffer, offsets in text_chunks(batch, text):
                 row, index = features(buffer, offsets)
                 told = weights[index] != 0
                 pair = np.unique(row[told] * np.int64(2**BITS) + index[told])
                 total = np.bincount(pair >> BITS, weights[pair & (2**BITS - 1)], part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + [pa.array(sigmoid(total + intercept))], [*carry, name])
 
-    return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{name}` double")
+    read = docs.select(*carry, *[F.col("text").cast("string").alias(text)] * (text not in carry))
+    return in_tasks(read, run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", `{name}` double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import materialised, shared_folder
+from nearkey.llm.shared import in_tasks, materialised, shared_folder
 
 #: Payloads of fewer bytes are never deduplicated.
 LEAST_PAYLOAD = 100
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
         if out is not None:
             out.close()
 
-    return materialised(typed.select("page_id", "url", "payload", "digest", "first", "revisit").mapInArrow(run, _ENTRY), "captures")
+    return materialised(in_tasks(typed.select("page_id", "url", "payload", "digest", "first", "revisit"), run, _ENTRY), "captures")
 
 
 def build_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTRIES) -> DataFrame:

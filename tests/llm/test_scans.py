@@ -4,7 +4,8 @@ import re
 import zlib
 
 import numpy as np
-from nearkey.llm import secrets, toxicity, warc
+from nearkey.llm import secrets, suffix_dedup, toxicity, warc
+from nearkey.llm.shared import BATCH_BYTES
 from pyspark.sql import functions as F
 
 from .conftest import SF, rows, same_as_oracle
@@ -185,3 +186,19 @@ def test_warc_lookup(spark):
 def test_url_keys():
     assert warc.url_key("http://www.Example.com/a b?x=1") == "com,example,www)/a%20b?x=1"
     assert warc.url_key(None) == warc.url_key("") == "-"
+
+
+def test_batches_of_bytes(spark, odd_docs):
+    """What the operators find does not depend on the bytes of a batch, and a size that is set stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    model = (np.arange(1 << 20), np.linspace(-1, 1, 1 << 20), 0.0)
+    find = lambda: [rows(toxicity.score(odd_docs, model, ("doc_id", "text", "size"))), rows(secrets.find_spans(odd_docs)), rows(suffix_dedup.remove_repeated(odd_docs.coalesce(1), digest=True))]
+    spark.conf.unset(setting)
+    several = find()
+    assert spark.conf.get(setting) == str(BATCH_BYTES)
+    try:
+        spark.conf.set(setting, 1000)
+        assert find() == several
+        assert spark.conf.get(setting) == "1000"
+    finally:
+        spark.conf.unset(setting)
