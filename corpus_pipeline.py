@@ -20,10 +20,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scoring at the threshold or above go."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
-    # the text travels under another name: the operator scores the column ``text``
-    carry = ("_kept" if c == "text" else c for c in docs.columns)
-    scored = toxicity.score(docs.withColumn("_kept", F.col("text")), model, tuple(carry), "_score")
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).withColumnRenamed("_kept", "text").select(*docs.columns)
+    scored = toxicity.score(docs, model, tuple(docs.columns), "_score")
+    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
