@@ -33,9 +33,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes :func:`materialised` tables that nothing reads any more: all that follows from them is written."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, table.written_to)
+
+
+def delete(spark: SparkSession, written_to: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
