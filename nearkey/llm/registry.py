@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearkey.llm import line_dedup, line_runs, mixing, neighbours, packing, secrets, simhash, suffix_dedup, toxicity, vector_dedup, warc
+from nearkey.llm import divergence, line_dedup, line_runs, mixing, neighbours, packing, secrets, simhash, suffix_dedup, toxicity, vector_dedup, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_best_fit_packing": packing.query,
     "op10_simhash": simhash.query,
+    "op11_whitening": whitening.query,
+    "op12_divergence": divergence.query,
     "op13_line_runs": line_runs.query,
 }
 
@@ -23,5 +25,6 @@ ORACLE_SQL = {
     "op5_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_vector_dedup": vector_dedup.ORACLE,
+    "op12_divergence": divergence.ORACLE,
     "op13_line_runs": line_runs.ORACLE,
 }
