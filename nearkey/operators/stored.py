@@ -1,0 +1,237 @@
+"""A stored index: what a ranking reads of it, and how changes rewrite only the parts they touch.
+
+Parquet tables in one folder, each partitioned by ``part``, a hash of its key:
+
+- ``keywords(vertex, word)`` and ``labels(vertex, hub, dist)`` by vertex, ``holders(word, vertex)`` by word,
+- ``postings(hub, vertex, dist, pos)`` of vertices with keywords by hub, sorted by (hub, dist, vertex), so that a bound on
+  the distance skips pages,
+- ``steps(hub, pos, dist)``: the postings at positions 0, 1, 3, 7, .., by hub: how many postings a distance reaches, within a factor of 2,
+- ``rests(rest, word)`` by rest: what is left of a word's prefixes when up to ``tau`` characters are left out.
+
+:func:`topk` is exact and reads postings in rounds of growing distance. Once k places are known, their worst score is turned
+into a distance beyond which nothing can enter; one more round reads up to it, and that is the end.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearkey.folders import delete, shared_path, written
+from nearkey.functions.text import deletions, prefix_edit_distance, prefixes, score, spatial
+from nearkey.operators import maintenance
+from nearkey.operators.index import hub_postings
+from nearkey.operators.search import RESULT
+
+SCHEMAS = {
+    "keywords": ("vertex", "vertex long, word string"),
+    "holders": ("word", "word string, vertex long"),
+    "labels": ("vertex", "vertex long, hub long, dist int"),
+    "postings": ("hub", "hub long, vertex long, dist int, pos int"),
+    "steps": ("hub", "hub long, pos int, dist int"),
+    "rests": ("rest", "rest string, word string"),
+}
+KEYS = {"vertex": "long", "hub": "long", "word": "string", "rest": "string"}
+ORDER = {"keywords": ["vertex", "word"], "holders": ["word", "vertex"], "labels": ["vertex", "hub"], "postings": ["hub", "dist", "vertex"], "steps": ["hub", "pos"], "rests": ["rest", "word"]}
+PARTS = 64
+#: Postings that the first round of a ranking reads, about; each further round reads ``GROWTH`` times as many.
+FIRST, GROWTH = 4096, 16
+#: Rows of a page, the unit that a distance bound skips.
+PAGE_ROWS = 5_000
+
+
+def _deletions(words: DataFrame, tau: int) -> DataFrame:
+    starts = words.select("word").distinct().select("word", F.explode(prefixes(F.lower("word"))).alias("start"))
+    return starts.select(F.explode(deletions(F.col("start"), tau)).alias("rest"), "word").distinct()
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """The tables below ``path``; ``parts`` and ``tau`` are those of the build."""
+
+    spark: SparkSession
+    path: str
+    parts: int = PARTS
+    tau: int = 2
+
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
+
+    def table(self, name: str, parts: list[int] | None = None) -> DataFrame:
+        """A table, or only those of its parts."""
+        rows = self.spark.read.schema(f"{SCHEMAS[name][1]}, part int").parquet(f"{self.path}/{name}")
+        return rows if parts is None else rows.where(F.col("part").isin(parts))
+
+    def parts_of(self, keys: DataFrame, column: str) -> list[int]:
+        """The parts that hold the keys in ``column``: at most all ``parts`` numbers come to the driver."""
+        return sorted(r["part"] for r in keys.select(self.part(F.col(column).cast(KEYS[column])).alias("part")).distinct().collect())
+
+    def write(self, name: str, rows: DataFrame, parts: list[int] | None = None) -> None:
+        """Replaces the table, or those of its parts: ``rows`` are all there is to them then."""
+        key, schema = SCHEMAS[name]
+        columns = [c.strip().split(" ") for c in schema.split(",")]
+        typed = rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in columns]).withColumn("part", self.part(F.col(key)))
+        dealt = typed.repartition("part").sortWithinPartitions("part", *ORDER[name])
+        to = f"{self.path}/{name}"
+        dealt.write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "static" if parts is None else "dynamic").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(to)
+        if parts is not None:  # parts of which no row is left
+            left = {r["part"] for r in self.table(name, parts).select("part").distinct().collect()}
+            empty = {r["part"] for r in typed.select("part").distinct().collect()}
+            for part in sorted(left - empty):
+                delete(self.spark, f"{to}/part={part}")
+
+    # --- maintenance -----------------------------------------------------------------------------
+
+    def _held(self, who: DataFrame, parts: list[int]) -> DataFrame:
+        """Postings of the vertices ``who``: their labels, if they have a keyword."""
+        some = self.table("keywords", parts).select("vertex").distinct()
+        return self.table("labels", parts).join(who, "vertex", "left_semi").join(some, "vertex", "left_semi").select("hub", "vertex", "dist")
+
+    def _change(self, name: str, changes: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Rewrites what ``changes(vertex, ..)`` touch of a table and of the postings; the parts of hubs that were rewritten."""
+        changes = written(changes, "changes")
+        who = changes.select(F.col("vertex").cast("long").alias("vertex")).distinct()
+        parts = self.parts_of(who, "vertex")
+        before = written(self._held(who, parts), "before")
+        columns = [c.split(" ")[0] for c in SCHEMAS[name][1].split(", ")]
+        self.write(name, written(change(self.table(name, parts).select(*columns), changes), "changed"), parts)
+        after = self._held(who, parts).withColumnRenamed("dist", "new")
+        moved = written(before.join(after, ["hub", "vertex"], "full").where("not (dist <=> new)").select("hub", "vertex", "new"), "moved")
+        touched = self.parts_of(moved, "hub")
+        if touched:
+            rest = self.table("postings", touched).select("hub", "vertex", "dist").join(moved, ["hub", "vertex"], "left_anti")
+            self._write_postings(written(rest.unionByName(moved.where("new is not null").select("hub", "vertex", F.col("new").alias("dist"))), "postings"), touched)
+        return touched
+
+    def _write_postings(self, rows: DataFrame, parts: list[int] | None = None) -> None:
+        numbered = written(hub_postings(rows, rows), "numbered")
+        self.write("postings", numbered, parts)
+        # pos + 1 is a power of two
+        self.write("steps", numbered.where("pos & (pos + 1) = 0").select("hub", "pos", "dist"), parts)
+
+    def insert_keys(self, added: DataFrame) -> list[int]:
+        """``added(vertex, word)``: new words go into the deletion index too."""
+        words = written(added.select(F.lower("word").alias("word")).distinct(), "words")
+        rests = written(_deletions(words, self.tau), "rests")
+        touched = self.parts_of(rests, "rest")
+        known = self.table("rests", touched).select("rest", "word")
+        self.write("rests", written(known.unionByName(rests).distinct(), "rests"), touched)
+        return self._change_keys(added, maintenance.insert_keys)
+
+    def delete_keys(self, gone: DataFrame) -> list[int]:
+        """Words that no vertex has any more stay in the deletion index: they match nobody."""
+        return self._change_keys(gone, maintenance.delete_keys)
+
+    def _change_keys(self, changes: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        changes = written(changes.select("vertex", "word"), "keys")
+        words = self.parts_of(changes.select(F.lower("word").alias("word")), "word")
+        self.write("holders", written(change(self.table("holders", words).select("vertex", "word"), changes), "holders"), words)
+        return self._change("keywords", changes, change)
+
+    def insert_labels(self, added: DataFrame) -> list[int]:
+        return self._change("labels", added.select("vertex", "hub", "dist"), maintenance.insert_labels)
+
+    def delete_labels(self, gone: DataFrame) -> list[int]:
+        return self._change("labels", gone.select("vertex", "hub"), maintenance.delete_labels)
+
+    def upsert_labels(self, changes: DataFrame) -> list[int]:
+        return self._change("labels", changes.select("vertex", "hub", "dist"), maintenance.upsert_labels)
+
+
+def build(keywords: DataFrame, labels: DataFrame, path: str | None = None, parts: int = PARTS, tau: int = 2) -> StoredIndex:
+    """Writes the index of ``keywords(vertex, word)`` and ``labels(vertex, hub, dist)``; for texts of up to ``tau`` edits."""
+    spark = keywords.sparkSession
+    index = StoredIndex(spark, path or shared_path(spark, "index"), parts, tau)
+    lower = written(keywords.select("vertex", F.lower("word").alias("word")).distinct(), "keywords")
+    index.write("keywords", lower)
+    index.write("holders", lower)
+    index.write("labels", labels)
+    index._write_postings(labels.join(keywords.select("vertex").distinct(), "vertex", "left_semi").select("hub", "vertex", "dist"))
+    index.write("rests", _deletions(keywords, tau))
+    return index
+
+
+def build_dictionary(words: DataFrame, path: str | None = None, parts: int = PARTS, tau: int = 1) -> StoredIndex:
+    """Only the deletion index of ``words(word)``, for :func:`match_texts`."""
+    spark = words.sparkSession
+    index = StoredIndex(spark, path or shared_path(spark, "index"), parts, tau)
+    index.write("rests", _deletions(words, tau))
+    return index
+
+
+# --- reading ------------------------------------------------------------------------------------
+
+
+def match_texts(index: StoredIndex, texts: DataFrame, tau: int) -> DataFrame:
+    """``(text, word, ped)`` of ``texts(text)`` and the indexed words within ``tau``, from the parts that the texts' remainders are in."""
+    if tau > index.tau:
+        raise ValueError(f"the index is for {index.tau} edits at most")
+    typed = texts.select(F.lower("text").alias("text")).distinct().select("text", F.explode(deletions(F.col("text"), tau)).alias("rest"))
+    typed = written(typed, "typed")
+    pairs = index.table("rests", index.parts_of(typed, "rest")).select("rest", "word").join(typed, "rest").select("text", "word").distinct()
+    return pairs.withColumn("ped", prefix_edit_distance(F.col("text"), F.col("word"), tau)).where("ped is not null")
+
+
+def _reach(index: StoredIndex, own: DataFrame, parts: list[int], postings: int) -> int | None:
+    """A distance within which about ``postings`` of the own hubs' postings are; None: all of them are fewer."""
+    gained = index.table("steps", parts).join(own, "hub").groupBy((F.col("dist") + F.col("own")).alias("at")).agg(F.sum(F.expr("(pos + 1) div 2 + if(pos = 0, 1, 0)")).alias("n"))
+    # a window over different distances, not over postings
+    so_far = gained.selectExpr("at", "sum(n) over (order by at) as n")
+    return so_far.where(F.col("n") >= postings).agg(F.min("at").alias("at")).first()["at"]
+
+
+def within(index: StoredIndex, own: DataFrame, parts: list[int], least: int, most: float | None) -> DataFrame:
+    """``(vertex, dist)`` of all vertices at most so far by their nearest own hub; exact for each of them.
+
+    ``own(hub, own)`` are the labels of a place, ``least`` their least distance, which bounds what pages are read.
+    """
+    rows = index.table("postings", parts)
+    if most is not None:
+        rows = rows.where(F.col("dist") <= F.lit(int(most) - least))
+    near = rows.select("hub", "vertex", "dist").join(own, "hub").select("vertex", (F.col("dist") + F.col("own")).alias("dist"))
+    if most is not None:
+        near = near.where(F.col("dist") <= F.lit(int(most)))
+    return near.groupBy("vertex").agg(F.min("dist").alias("dist"))
+
+
+def topk(index: StoredIndex, vertex: int, text: str, k: int = 10, tau: int = 1, alpha: float = 0.5, d_max: float = 100, first: int = FIRST) -> DataFrame:
+    """The k best ``(vertex, dist, ped, score)``, those of :func:`nearkey.operators.search.topk`.
+
+    Within a distance every vertex's own distance is known, since its nearest hub is among the postings read; beyond it no
+    score is below the bound made of that distance and the least edit distance of any word. Postings of a round of growth are at most
+    about ``GROWTH`` times those of the round before.
+    """
+    spark = index.spark
+    words = written(match_texts(index, spark.range(1).select(F.lit(text).alias("text")), tau).select("word", "ped"), "matched")
+    own = index.table("labels", index.parts_of(spark.range(1).select(F.lit(vertex).alias("vertex")), "vertex")).where(F.col("vertex") == vertex)
+    own = written(own.select("hub", F.col("dist").alias("own")), "own")
+    least, best = own.agg(F.min("own").alias("m")).first()["m"], words.agg(F.min("ped").alias("m")).first()["m"]
+    nothing = least is None or best is None
+    parts = [] if nothing else index.parts_of(own, "hub")
+    matches = index.table("holders", [] if nothing else index.parts_of(words, "word")).join(words, "word").groupBy("vertex").agg(F.min("ped").alias("ped"))
+    matches = written(matches, "matches")
+    some = 0.0 if tau == 0 or best is None else (1 - alpha) * best / tau
+    most, size = None, first
+    if not nothing and alpha > 0:
+        most = _reach(index, own, parts, size)
+    while True:
+        near = within(index, own, parts, least or 0, most)
+        held = near.join(matches, "vertex").withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
+        found = written(held.orderBy("score", "srd", "vertex").limit(k), "found")
+        if most is None:
+            break
+        worst = found.agg(F.count("*").alias("n"), F.max("score").alias("s")).first()
+        if worst["n"] == k:
+            # one more than the bound in exact numbers: rounding must not lose a tie
+            needed = int((worst["s"] - some) * d_max / alpha) + 1
+            if needed <= most:
+                break
+            most = needed
+        else:
+            size *= GROWTH
+            further = _reach(index, own, parts, size)
+            most = None if further is None else max(further, most + 1)
+    return found.orderBy("score", "srd", "vertex").select(*RESULT)

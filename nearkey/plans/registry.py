@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearkey.folders import shared_path
 from nearkey.functions import bits
 from nearkey.functions.text import prefix_edit_distance
-from nearkey.operators import index, maintenance, network, search
+from nearkey.operators import index, maintenance, network, search, stored
 from nearkey.sources import files
 from nearkey.sources.tables import SQL as MODEL
 from nearkey.sources.tables import star_model
@@ -427,6 +427,55 @@ _changed("edge_decrease", _reweighted(False), labels_sql=_WEIGHT.format("-"))
 _changed("edge_increase", _reweighted(True), labels_sql=_WEIGHT.format("+"))
 
 
+# --- stored index ----------------------------------------------------------------------------
+
+
+def _stored(name: str, **options) -> None:
+    args = {"text": TEXT, "q": Q, "k": 10, "tau": 1, "alpha": 0.5, "d_max": 100} | options
+
+    @_query(name, _topk(**args))
+    def run(spark, sf_dir):
+        """A ranking in rounds of growing distance over an index written before."""
+        m = star_model(spark, sf_dir)
+        kept = stored.build(m.keywords, m.labels, tau=args["tau"])
+        return _rounded(stored.topk(kept, args["q"], args["text"], args["k"], args["tau"], args["alpha"], args["d_max"]))
+
+
+_stored("topk_stored")
+_stored("topk_stored_tau2", text="wodgt", tau=2)
+
+
+@_query("stored_changes", f"""WITH {MODEL}, k AS (
+  SELECT vertex, word FROM vertex_keywords WHERE vertex % 40 <> 3 UNION SELECT DISTINCT vertex, 'quokka' FROM vertex_keywords WHERE vertex % 50 = 4
+), l AS (
+  SELECT vertex, hub, min(dist) AS dist FROM (
+    SELECT vertex, hub, CASE WHEN vertex % 30 = 7 AND hub % 2 = 0 THEN dist + 5 ELSE dist END AS dist FROM hop_labels WHERE NOT (vertex % 30 = 8 AND dist < 9)
+    UNION ALL SELECT DISTINCT vertex, 0, 3 FROM hop_labels WHERE vertex % 60 = 11) GROUP BY 1, 2)
+SELECT hub, vertex, dist, CAST(row_number() OVER (PARTITION BY hub ORDER BY dist, vertex) - 1 AS BIGINT) AS pos FROM l WHERE vertex IN (SELECT vertex FROM k)""")
+def _(spark, sf_dir):
+    """The postings of an index after keys and labels were inserted, deleted and changed in place."""
+    m = star_model(spark, sf_dir)
+    kept = stored.build(m.keywords, m.labels, tau=1)
+    vertices = m.labels.select("vertex").distinct()
+    kept.delete_keys(m.keywords.where("vertex % 40 = 3"))
+    kept.insert_keys(m.keywords.where("vertex % 50 = 4").select("vertex", F.lit("Quokka").alias("word")).distinct())
+    kept.delete_labels(m.labels.where("vertex % 30 = 8 and dist < 9"))
+    kept.upsert_labels(m.labels.where("vertex % 30 = 7 and hub % 2 = 0").withColumn("dist", F.col("dist") + 5))
+    kept.insert_labels(vertices.where("vertex % 60 = 11").selectExpr("vertex", "0 as hub", "3 as dist"))
+    return kept.table("postings").select("hub", "vertex", "dist", F.col("pos").cast("long").alias("pos"))
+
+
+@_query("stored_dictionary", f"""SELECT text, word, ped FROM (
+  SELECT text, word, {_ped('text', 'word', 1)} AS ped FROM (
+    SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents), (VALUES ('thae'), ('langu'), ('qx')) t(text) WHERE word <> '') WHERE ped IS NOT NULL""")
+def _(spark, sf_dir):
+    """Texts against the stored deletions of the documents' words; the dictionary is not scanned."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''")
+    kept = stored.build_dictionary(words.distinct())
+    asked = spark.createDataFrame([("thae",), ("langu",), ("qx",)], "text string")
+    return stored.match_texts(kept, asked, 1).withColumn("ped", F.col("ped").cast("long"))
+
+
 # --- sets and order --------------------------------------------------------------------------
 
 
