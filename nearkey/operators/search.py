@@ -62,7 +62,8 @@ def topk(keywords: DataFrame, labels: DataFrame, vertex: int, text: str, k: int
     return found.orderBy("score", "srd", "vertex").limit(k).select(*RESULT)
 
 
-def _best_per(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+def best_per(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best rows of every ``keys``, with ``rank`` from 1."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("score", "srd", "vertex"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*keys, "rank", *RESULT)
 
@@ -81,7 +82,7 @@ def topk_batch(keywords: DataFrame, labels: DataFrame, queries: DataFrame, k: in
     there = matches.join(labels, "vertex")
     found = there.join(own, ["text", "hub"]).groupBy("q", "text", "vertex", "ped").agg(F.min(F.col("dist") + F.col("own")).alias("dist"))
     found = found.withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
-    return typed.join(_best_per(found, ["q", "text"], k), ["q", "text"]).select("qid", "rank", *RESULT)
+    return typed.join(best_per(found, ["q", "text"], k), ["q", "text"]).select("qid", "rank", *RESULT)
 
 
 def _steps(text: str) -> list[tuple[int, str]]:
@@ -133,7 +134,7 @@ def keystroke_topk(keywords: DataFrame, labels: DataFrame, vertex: int, text: st
     matches = keywords.join(words, "word").groupBy("step", "vertex").agg(F.min("ped").alias("ped"))
     found = matches.join(_near(labels, vertex, matches.select("vertex").distinct()), "vertex")
     found = found.withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
-    return _best_per(found, ["step"], k)
+    return best_per(found, ["step"], k)
 
 
 def multi_ped(keywords: DataFrame, texts: list[str], tau: int) -> DataFrame:
@@ -165,4 +166,4 @@ def multikey_keystroke(keywords: DataFrame, labels: DataFrame, vertex: int, text
     else:
         last = last.withColumnRenamed("last", "ped")
     found = last.join(_near(labels, vertex, last.select("vertex").distinct()), "vertex")
-    return _best_per(_multi_score(found, len(texts), tau, alpha, d_max), ["step"], k)
+    return best_per(_multi_score(found, len(texts), tau, alpha, d_max), ["step"], k)

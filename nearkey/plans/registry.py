@@ -585,9 +585,15 @@ def _(spark, sf_dir):
 # --- streams ---------------------------------------------------------------------------------
 
 
-@_query("keystroke_stream", "SELECT user_id AS session, CAST(count(*) AS INTEGER) AS step, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS text FROM events GROUP BY 1")
+#: A day without a key ends a text.
+_IDLE = 86_400_000
+
+
+@_query("keystroke_stream", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS anew FROM events
+), b AS (SELECT *, sum(anew) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst, sum(anew) OVER (PARTITION BY user_id) AS bursts FROM g)
+SELECT user_id AS session, CAST(count(*) AS INTEGER) AS step, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS text FROM b WHERE burst = bursts GROUP BY 1""")
 def _(spark, sf_dir):
-    return keystrokes.typed_sessions(keystrokes.event_keys(spark, sf_dir))
+    return keystrokes.typed_sessions(keystrokes.event_keys(spark, sf_dir), _IDLE)
 
 
 _WORDS = ("widget", "small", "brand", "bolt")
@@ -603,6 +609,5 @@ SELECT qid, rank, vertex, dist, ped, score FROM asked JOIN r USING (text)""")
 def _(spark, sf_dir):
     """The ranking after the last key of every session of a stream."""
     m = star_model(spark, sf_dir)
-    ranked = keystrokes.keystroke_rankings(keystrokes.typed_keys(spark, sf_dir, _WORDS), m.keywords, m.labels, Q, k=3)
-    last = ranked.groupBy("qid").agg(F.max("trigger").alias("trigger"))
-    return _rounded(ranked.join(last, ["qid", "trigger"]).drop("trigger"))
+    ranked = keystrokes.keystroke_rankings(keystrokes.typed_keys(spark, sf_dir, _WORDS), m.keywords, m.labels, Q, k=3, idle_ms=_IDLE)
+    return _rounded(keystrokes.last_rankings(ranked).select("qid", "rank", "vertex", "dist", "ped", "score"))

@@ -35,4 +35,4 @@ def test_entry(spark):
 def test_rankings_follow_the_stream(spark):
     m = star_model(spark, SF)
     got = keystrokes.keystroke_rankings(keystrokes.event_keys(spark, SF), m.keywords, m.labels, 7, k=3, tau=1)
-    assert set(got.columns) == {"qid", "rank", "vertex", "dist", "ped", "score", "trigger"}
+    assert set(got.columns) == {"qid", "begun", "step", "text", "rank", "vertex", "dist", "ped", "score", "trigger"}
