@@ -34,6 +34,12 @@ def upsert_labels(labels: DataFrame, changes: DataFrame) -> DataFrame:
     return labels.join(new, ["vertex", "hub"], "full").select("vertex", "hub", F.coalesce("new", "dist").alias("dist"))
 
 
+def apply_label_changes(labels: DataFrame, changes: DataFrame) -> DataFrame:
+    """``changes(vertex, hub, dist)`` of a network's edges, one a pair: a null ``dist`` takes the label away, others replace or add it."""
+    rest = labels.join(changes.select("vertex", "hub"), ["vertex", "hub"], "left_anti")
+    return rest.select("vertex", "hub", "dist").unionByName(changes.where("dist is not null").select("vertex", "hub", "dist"))
+
+
 def reweighted(edges: DataFrame, factor: float, increase: bool) -> DataFrame:
     """``edges(.., dist)`` with ``dist`` grown or cut by ``factor``, truncated toward zero."""
     step = F.col("dist") * F.lit(factor)
