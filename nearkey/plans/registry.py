@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkey.folders import shared_path
+from nearkey.folders import shared_path, written
 from nearkey.functions import bits
 from nearkey.functions.text import prefix_edit_distance
 from nearkey.operators import index, maintenance, network, search, stored
@@ -202,6 +202,65 @@ def _(spark, sf_dir):
     return found.select(*[F.col(c).cast("long").alias(c) for c in ("vertex", "hub", "dist")])
 
 
+#: Of all distances (hub, vertex, dist), the labels that no more important vertex (a smaller number) on a shortest way makes needless.
+_FEWEST = """SELECT CAST(vertex AS BIGINT) AS vertex, CAST(hub AS BIGINT) AS hub, CAST(dist AS BIGINT) AS dist FROM {0} l
+WHERE NOT EXISTS (SELECT 1 FROM {0} a JOIN {0} b ON a.hub = b.hub AND b.vertex = l.hub WHERE a.vertex = l.vertex AND a.hub < l.hub AND a.dist + b.dist = l.dist)"""
+
+
+def _all_ways(edges: str, name: str, most: int) -> str:
+    return f"""{name}_walk(hub, vertex, dist) AS (
+  SELECT DISTINCT src, src, CAST(0 AS BIGINT) FROM {edges} UNION SELECT b.hub, e.dst, CAST(b.dist + e.w AS BIGINT) FROM {name}_walk b JOIN {edges} e ON e.src = b.vertex WHERE b.dist + e.w <= {most}
+), {name} AS (SELECT hub, vertex, min(dist) AS dist FROM {name}_walk GROUP BY 1, 2)"""
+
+
+@_query("distance_labels", f"WITH RECURSIVE {_RING}, {_all_ways('e', 'd', 60)} {_FEWEST.format('d')}")
+def _(spark, sf_dir):
+    """The fewest two-hop labels of the ring, grown by distance."""
+    return network.distance_labels(_ring(spark, sf_dir), _by_key(spark, sf_dir))
+
+
+@_query("pruned_label_changes", f"WITH RECURSIVE {_RING}, {_all_ways('f', 'd', 60)} {_FEWEST.format('d')}")
+def _(spark, sf_dir):
+    """The ring's fewest labels, kept up to date when one edge becomes dearer and another cheaper."""
+    edges, order = _ring(spark, sf_dir), _by_key(spark, sf_dir)
+    ends = edges.where("src < dst and (src = 3 and dst = 4 or src = 11 and dst = 12)")
+    changed = ends.selectExpr("src as u", "dst as v", "w as old", "if(src = 3, w + 7, 1) as new")
+    labels = written(network.distance_labels(edges, order), "labels")
+    return maintenance.apply_label_changes(labels, network.pruned_label_changes(labels, edges, changed, order))
+
+
+def _suppliers(spark, sf_dir):
+    """Suppliers of neighbouring lines of an order are joined; the least sum of two quantities is the weight."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    follow = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("b"), F.col("l_quantity").alias("q"))
+    one = lines.join(follow, ["l_orderkey", "l_linenumber"]).where("l_suppkey <> b")
+    both = F.inline(F.array(F.struct(F.col("l_suppkey").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("l_suppkey").alias("dst"))))
+    return one.select(both, (F.col("l_quantity") + F.col("q")).cast("long").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
+
+
+_SUPPLIERS = """one AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, CAST(a.l_quantity + b.l_quantity AS BIGINT) AS w FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey
+), e AS (SELECT src, dst, min(w) AS w FROM (SELECT a AS src, b AS dst, w FROM one UNION ALL SELECT b, a, w FROM one) GROUP BY 1, 2
+), f AS (SELECT src, dst, CASE WHEN (least(src, dst) + 7 * greatest(src, dst)) % 40 = 1 THEN w + 9 WHEN (least(src, dst) + 7 * greatest(src, dst)) % 40 = 2 THEN 1 ELSE w END AS w FROM e WHERE (least(src, dst) + 7 * greatest(src, dst)) % 40 <> 3)"""
+
+
+@_query("supplier_labels", f"WITH RECURSIVE {_SUPPLIERS}, {_all_ways('e', 'd', 60)} {_FEWEST.format('d')}")
+def _(spark, sf_dir):
+    """The fewest labels of the network of suppliers."""
+    edges = written(_suppliers(spark, sf_dir), "suppliers")
+    return network.distance_labels(edges, edges.selectExpr("src as vertex", "src as rank").distinct())
+
+
+@_query("supplier_label_changes", f"WITH RECURSIVE {_SUPPLIERS}, {_all_ways('f', 'd', 60)} {_FEWEST.format('d')}")
+def _(spark, sf_dir):
+    """The suppliers' labels after many edges became dearer, cheaper or went, without building them anew."""
+    edges = written(_suppliers(spark, sf_dir), "suppliers")
+    order = edges.selectExpr("src as vertex", "src as rank").distinct()
+    labels = written(network.distance_labels(edges, order), "labels")
+    kind = F.expr("(src + 7 * dst) % 40")
+    changed = edges.where("src < dst").where(kind.isin(1, 2, 3)).select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("w").alias("old"), F.when(kind == 1, F.col("w") + 9).when(kind == 2, F.lit(1)).alias("new"))
+    return maintenance.apply_label_changes(labels, network.pruned_label_changes(labels, edges, changed, order))
+
+
 # --- top-k -----------------------------------------------------------------------------------
 
 
