@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearkey.functions.intervals import interval_cells, number_cells
 from nearkey.functions.text import prefixes
 
 
@@ -65,10 +66,15 @@ def trie_level_index(keywords: DataFrame) -> DataFrame:
 
 
 def level_index_probe(keywords: DataFrame, probes: DataFrame) -> DataFrame:
-    """Rows of ``probes(letter, depth, low, high, ..)`` with ``(node, id)``: the nodes of that last letter and depth in the interval."""
+    """Rows of ``probes(letter, depth, low, high, ..)`` with ``(node, id)``: the nodes of that last letter and depth in the interval.
+
+    Intervals and nodes meet by cells (:mod:`nearkey.functions.intervals`), so a (letter, depth) with many nodes is not
+    filtered probe by node.
+    """
     nodes = trie_intervals(keywords).where("node <> ''")
-    nodes = nodes.select(F.substring("node", -1, 1).alias("letter"), F.length("node").alias("depth"), "node", "id")
-    return probes.join(nodes, ["letter", "depth"]).where("id between low and high")
+    nodes = nodes.select(F.substring("node", -1, 1).alias("letter"), F.length("node").alias("depth"), "node", "id", F.inline(number_cells(F.col("id"))))
+    cut = probes.select("*", F.inline(interval_cells(F.col("low"), F.col("high"))))
+    return cut.join(nodes, ["letter", "depth", "level", "cell"]).drop("level", "cell")
 
 
 def hub_node(labels: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -83,9 +89,48 @@ def hub_node_positions(labels: DataFrame, keywords: DataFrame) -> DataFrame:
     return rows.groupBy("hub", "node").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("hub", "node", F.length("node").alias("depth"), "positions")
 
 
+#: Positions of a chunk of a set, the bits of one integer.
+CHUNK_BITS = 5
+
+
+def trie_branches(keywords: DataFrame) -> DataFrame:
+    """``(node, branch)`` of all nodes but the root: the longest prefix that all words below a node share.
+
+    Between a node and its branch the trie does not fork, so both have the same words below, and the same positions.
+    """
+    below = keywords.select("word").distinct().select("word", F.explode(prefixes(F.col("word"), with_root=False)).alias("node"))
+    ends = below.groupBy("node").agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.length("low")), lambda i: F.substring("low", F.lit(1), i) == F.substring("high", F.lit(1), i)))
+    return ends.select("node", F.substring("low", F.lit(1), shared).alias("branch"))
+
+
+def branch_chunks(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(hub, branch, chunk, bits, first_pos, last_pos)``: a branch's positions, 32 to a row: ``bits`` has bit i for ``32 * chunk + i``.
+
+    Postings are dealt by (hub, chunk) once, a row each with the branches of its vertex, and become sets there. So no prefix of a
+    posting is shuffled, no row grows with a hub, and a large hub is spread.
+    """
+    branches = trie_branches(keywords).select("branch").distinct()
+    words = keywords.select("word").distinct().select("word", F.explode(prefixes(F.col("word"), with_root=False)).alias("branch"))
+    above = words.join(branches, "branch", "left_semi").groupBy("word").agg(F.collect_list("branch").alias("above"))
+    own = keywords.join(above, "word").groupBy("vertex").agg(F.array_distinct(F.flatten(F.collect_list("above"))).alias("branches"))
+    held = hub_postings(labels, keywords).join(own, "vertex").select("hub", F.shiftright("pos", CHUNK_BITS).alias("chunk"), "pos", "branches")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND((1 << CHUNK_BITS) - 1))
+    sets = held.repartition("hub", "chunk").select("hub", "chunk", "pos", bit.alias("bit"), F.explode("branches").alias("branch"))
+    of_branches = sets.groupBy("hub", "chunk", "branch").agg(F.bit_or("bit").alias("bits"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return of_branches.select("hub", "branch", "chunk", "bits", "first_pos", "last_pos")
+
+
+def hub_node_chunks(labels: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(hub, node, chunk, bits)`` of all nodes: those of their branches."""
+    return branch_chunks(labels, keywords).join(trie_branches(keywords), "branch").select("hub", "node", "chunk", "bits")
+
+
 def hub_node_popcount(labels: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``(hub, node, ones, first_pos, last_pos)`` without building the positions."""
-    return hub_node(labels, keywords).groupBy("hub", "node").agg(F.count("*").alias("ones"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    """``(hub, node, ones, first_pos, last_pos)``, counted on the chunks of the branches."""
+    ones = F.sum(F.bit_count("bits")).alias("ones")
+    counted = branch_chunks(labels, keywords).groupBy("hub", "branch").agg(ones, F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"))
+    return counted.join(trie_branches(keywords), "branch").select("hub", "node", "ones", "first_pos", "last_pos")
 
 
 def rank_in_parent(labels: DataFrame, keywords: DataFrame) -> DataFrame:

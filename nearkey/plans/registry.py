@@ -389,6 +389,13 @@ def _(spark, sf_dir):
     return rows.select("hub", "node", "ones", F.col("first_pos").cast("long").alias("first_pos"), F.col("last_pos").cast("long").alias("last_pos"))
 
 
+@_query("hub_node_chunks", f"WITH {MODEL}, {_HUB_NODE} SELECT hub, node, CAST(pos // 32 AS INTEGER) AS chunk, CAST(bit_or(CAST(1 AS BIGINT) << CAST(pos % 32 AS BIGINT)) AS BIGINT) AS bits FROM hub_node GROUP BY 1, 2, 3")
+def _(spark, sf_dir):
+    """Position sets by chunks of 32, so that no row grows with a hub."""
+    m = star_model(spark, sf_dir)
+    return index.hub_node_chunks(m.labels, m.keywords)
+
+
 @_query("rank_in_parent", f"""WITH {MODEL}, {_HUB_NODE}, parents AS (
   SELECT hub, node AS parent, pos, CAST(row_number() OVER (PARTITION BY hub, node ORDER BY pos) - 1 AS BIGINT) AS rank FROM hub_node UNION ALL SELECT hub, '', pos, pos FROM hub_postings)
 SELECT h.hub, h.node, CAST(count(*) AS BIGINT) AS ones, min(p.rank) AS first_rank, max(p.rank) AS last_rank, CAST(sum(p.rank) AS BIGINT) AS ranks, CAST(sum((h.pos + 1) * (p.rank + 1)) AS BIGINT) AS digest
@@ -414,6 +421,22 @@ def _(spark, sf_dir):
     return index.level_index_probe(keywords, probes).select("under", "letter", "node", "id")
 
 
+_DOC_WORDS = "vertex_keywords AS (SELECT DISTINCT 0 AS vertex, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents), dictionary AS (SELECT DISTINCT word FROM vertex_keywords WHERE word <> '')"
+
+
+@_query("document_level_probe", f"""WITH {_DOC_WORDS}, n AS (
+  SELECT DISTINCT unnest(list_transform(range(0, CAST(length(word) AS BIGINT) + 1), lambda i: substr(word, 1, CAST(i AS INTEGER)))) AS node FROM dictionary
+), ids AS (SELECT node, CAST(row_number() OVER (ORDER BY encode(node)) AS BIGINT) AS id FROM n)
+SELECT substr(node, 1, length(node) - 2) AS under, right(node, 1) AS letter, node, id FROM ids WHERE length(node) >= 2 AND right(node, 1) IN ('i', 'e', 'a')""")
+def _(spark, sf_dir):
+    """From every trie node of the documents' words, the nodes two letters below that end in some letters, by intervals."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''").distinct()
+    words = written(words, "words")
+    letters = F.explode(F.array(*map(F.lit, "iea"))).alias("letter")
+    probes = index.trie_intervals(words).select(F.col("node").alias("under"), F.col("id").alias("low"), F.col("last").alias("high"), (F.length("node") + 2).alias("depth"), letters)
+    return index.level_index_probe(words, probes).select("under", "letter", "node", "id")
+
+
 _ACTIVE_MAP = "SELECT o.node AS old, CAST(levenshtein('wi', o.node) AS BIGINT) AS old_ed, n.node, CAST(levenshtein('wid', n.node) AS BIGINT) AS ed FROM nodes o JOIN nodes n ON starts_with(n.node, o.node) WHERE levenshtein('wi', o.node) <= 1 AND levenshtein('wid', n.node) <= 1"
 
 
