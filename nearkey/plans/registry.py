@@ -9,7 +9,7 @@ from nearkey.folders import shared_path, written
 from nearkey.functions import bits
 from nearkey.functions.text import prefix_edit_distance
 from nearkey.operators import index, maintenance, network, search, stored
-from nearkey.sources import files
+from nearkey.sources import files, label_files
 from nearkey.sources.tables import SQL as MODEL
 from nearkey.sources.tables import star_model
 from nearkey.streaming import keystrokes
@@ -664,6 +664,93 @@ def _(spark, sf_dir):
     return files.read_index(spark, path).select("hub", "vertex", "dist", "pos")
 
 
+_FAR = 1_000_000
+
+
+def _far_labels(spark, sf_dir) -> DataFrame:
+    """Hubs get ids above all vertices, so no label is one of a vertex to itself."""
+    return star_model(spark, sf_dir).labels.withColumn("hub", F.col("hub") + _FAR)
+
+
+_FAR_LABELS = f"SELECT CAST(vertex AS INTEGER) AS vertex, CAST(hub + {_FAR} AS INTEGER) AS hub, dist FROM hop_labels"
+
+
+@_query("label_out_file", f"WITH {MODEL} {_FAR_LABELS}")
+def _(spark, sf_dir):
+    """Labels written as one binary file and read back in ranges."""
+    path = f"{shared_path(spark, 'out')}/labels.out"
+    label_files.write_out(_far_labels(spark, sf_dir), path)
+    return label_files.read(spark, path, label_files.OUT, 1 << 16)
+
+
+@_query("label_forward_file", f"WITH {MODEL} {_FAR_LABELS} UNION ALL SELECT DISTINCT CAST(vertex AS INTEGER), CAST(vertex AS INTEGER), 0 FROM hop_labels")
+def _(spark, sf_dir):
+    """Labels written as pairs by many tasks, each vertex opened by a pair of its own, and read back in ranges."""
+    path = shared_path(spark, "forward")
+    label_files.write_forward(_far_labels(spark, sf_dir), path)
+    return label_files.read(spark, path, label_files.FORWARD, 1 << 16)
+
+
+@_query("label_file_size", f"WITH {MODEL}, s AS (SELECT CAST(4 + 4 * (max(vertex) + 1) + 8 * count(*) AS BIGINT) AS bytes FROM hop_labels) SELECT bytes, bytes // 12 AS records FROM s")
+def _(spark, sf_dir):
+    path = f"{shared_path(spark, 'out')}/labels.out"
+    label_files.write_out(_far_labels(spark, sf_dir), path)
+    return files.file_sizes(spark, path).select("bytes", "records")
+
+
+@_query("graph_header_file", f"WITH {MODEL} SELECT CAST(count(DISTINCT vertex) + count(DISTINCT hub) AS INTEGER) AS vertices, CAST(2 * count(*) AS INTEGER) AS edges FROM hop_labels")
+def _(spark, sf_dir):
+    """A network with its header, written as text."""
+    path, edges = shared_path(spark, "graph"), star_model(spark, sf_dir).edges
+    header = edges.agg(F.concat_ws(" ", F.count_distinct("src"), F.count("*")).alias("value"))
+    header.unionByName(edges.select(F.concat_ws(" ", "src", "dst", "w").alias("value"))).write.text(path)
+    return files.graph_header(spark, path)
+
+
+def _lines_file(spark, rows: DataFrame, header: DataFrame, name: str) -> str:
+    """``rows(at, value)`` in order below a line of ``header(value)``, one file: line numbers are ids in these formats."""
+    path = shared_path(spark, name)
+    header.select(F.lit(-1).cast("long").alias("at"), "value").unionByName(rows).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+def _numbered_keys(spark, sf_dir) -> DataFrame:
+    """``(vertex, key_id)``: words by their number in the sorted dictionary."""
+    keywords = star_model(spark, sf_dir).keywords
+    ids = index.trie_intervals(keywords).join(keywords.select(F.col("word").alias("node")).distinct(), "node")
+    return keywords.join(ids.select(F.col("node").alias("word"), F.col("id").alias("key_id")), "word").select("vertex", "key_id")
+
+
+def _lists(pairs: DataFrame, by: str, of: str) -> DataFrame:
+    own = F.sort_array(F.collect_list(of))
+    return pairs.groupBy(by).agg(own.alias("own")).select(F.col(by).cast("long").alias("at"), F.concat_ws(" ", by, F.size("own"), F.array_join(F.col("own").cast("array<string>"), " ")).alias("value"))
+
+
+_KEY_IDS = f"{_INTERVALS}, keyed AS (SELECT CAST(vertex AS INTEGER) AS vertex, CAST(id AS INTEGER) AS key_id FROM vertex_keywords JOIN ids ON node = word)"
+
+
+@_query("key_vertex_file", f"WITH {MODEL}, {_KEY_IDS} SELECT vertex, key_id FROM keyed")
+def _(spark, sf_dir):
+    pairs = _numbered_keys(spark, sf_dir)
+    header = pairs.agg(F.concat_ws(" ", F.count_distinct("key_id"), F.count("*")).alias("value"))
+    return files.read_key_vertices(spark, _lines_file(spark, _lists(pairs, "key_id", "vertex"), header, "keys"))
+
+
+@_query("vertex_key_file", f"WITH {MODEL}, {_KEY_IDS} SELECT vertex, key_id FROM keyed")
+def _(spark, sf_dir):
+    pairs = _numbered_keys(spark, sf_dir)
+    header = pairs.agg(F.concat_ws(" ", F.count_distinct("vertex"), F.count("*")).alias("value"))
+    return files.read_vertex_keys(spark, _lines_file(spark, _lists(pairs, "vertex", "key_id"), header, "vertices"))
+
+
+@_query("workload_file", f"WITH {MODEL}, {_KEY_IDS} SELECT CAST(row_number() OVER (ORDER BY vertex, key_id) - 1 AS INTEGER) AS qid, vertex, key_id FROM keyed WHERE vertex % 10 = 0")
+def _(spark, sf_dir):
+    """Places with what is typed there, as a workload file of one query a line."""
+    asked = _numbered_keys(spark, sf_dir).where("vertex % 10 = 0")
+    lines = asked.select((F.col("vertex") * 1_000_000 + F.col("key_id")).alias("at"), F.concat_ws(" ", "vertex", "key_id").alias("value"))
+    return files.read_workload(spark, _lines_file(spark, lines, asked.agg(F.count("*").cast("string").alias("value")), "workload"))
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
