@@ -18,7 +18,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scoring at the threshold or above go."""
+    """Documents scoring at the threshold or above go; a null text scores as an empty one.
+
+    Equal texts score alike whatever their other columns, so repeated rows stay or go together. A column ``_score`` must not be there.
+    """
     model = toxicity.train(docs, _labels(spark, sf_dir))
     scored = toxicity.score(docs, model, tuple(docs.columns), "_score")
     return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
@@ -27,17 +30,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the smallest doc_id stays; rows without a doc_id stay.
 
-    Of rows that repeat that doc_id in one group, one stays (of several texts the one of least hash).
+    Of rows that repeat that doc_id in one group, one stays: of several texts the one of least hash, of several rows with that
+    text the least in the order of their other columns (nulls first). A null text is an empty one.
     """
     found = simhash.grouped(docs).where("doc_id = component_id")
     kept = found.groupBy(F.col("doc_id").alias("_id"), "component").agg(F.min("text_hash").alias("_kept")).select("_id", "_kept")
     named = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
-    one = named.join(kept, F.expr("doc_id = _id and _hash = _kept"), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    mine = named.join(kept, F.expr("doc_id = _id and _hash = _kept"), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = mine.groupBy("doc_id", "_hash").agg(F.min(F.struct(*others, "text")).alias("_row")).select("doc_id", "_row.*")
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret found is replaced in the text; all documents stay."""
+    """Every secret found is replaced in the text; all documents stay, repeated rows each. A null text stays null.
+
+    Columns ``_found`` and ``_text`` must not be there.
+    """
     carry = tuple(c for c in docs.columns if c != "text")
     clean = secrets.find_spans(docs, carry=carry, redact="[secret]", name="_found")
     if "n_chars" in docs.columns:
@@ -46,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows equal in id, source and text are drawn together.
+    """Documents as often as the mix takes them; rows equal in id, source and text are drawn together. A null text has no words, costs the mix nothing and may stay.
 
     The mix runs on sizes alone; texts are shuffled once, to meet the number of their copies.
     """
@@ -61,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents in sequences."""
+    """The mixed documents in sequences, repeated rows each; a null doc_id stays null. Columns but doc_id and text are ignored."""
     return packing.best_fit_packing(docs, packing.default_tokenizer())
 
 
