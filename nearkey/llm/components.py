@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkey.llm.shared import checkpointed, materialised
+from nearkey.llm.shared import checkpointed, discard, materialised
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,9 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = materialised(low, "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialised(large, "large")
-        low = materialised(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        least = materialised(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpointed(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(low, large, least)
         last, seen = seen, _mark(now)
         if last == seen:
             break

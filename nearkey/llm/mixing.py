@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weight: Column | None = None, size: Column | None = Non
     ``weight`` is the draw weight (positive; null: 1), ``size`` the size (default: words of the
     text). The document on which a source's rest ends is taken if at least half of it is within. A
     null text has size 0, of which nothing is taken; null is a source like any other; equal keys
-    (repeated rows) are ordered by id and size; columns of ``docs`` of the new names are replaced.
+    (repeated rows) are ordered by id and size; no rows in, no rows out; columns of ``docs`` of the new names are replaced.
     """
     one = F.lit(1.0)
     sized = docs.withColumns({

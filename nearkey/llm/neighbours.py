@@ -28,6 +28,7 @@ BLOCK = 8192
 #: Rounding of norms and sums, far above double precision's.
 SLACK = 1e-9
 STEP = 128  # queries of a tile
+HANDED = 10_000  # result rows that a task holds
 
 
 def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,9 +93,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
             pairs = zip((-group.column("score").to_numpy()).tolist(), group.column("vec_id").to_pylist())
             query = group.column("query_id")[0].as_py()
             out += [(query, r, v, -s) for r, (s, v) in enumerate(heapq.nsmallest(k, pairs), 1)]
+            if len(out) >= HANDED:
+                yield handed(out)
+                out = []
         if out:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], ["query_id", "rank", "vec_id", "score"])
+            yield handed(out)
+
+    def handed(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], ["query_id", "rank", "vec_id", "score"])
 
     columns = ["dim", "qb", "cb", "side", "vec_id", "v"]
     paired = q.select(*columns).unionByName(c.select(*columns)).repartition(*units).sortWithinPartitions(*units)

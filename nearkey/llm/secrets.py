@@ -157,7 +157,7 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[st
 
     Spans are in code points, end exclusive, ordered by start and then by the rules' order. With
     ``redact``, a ``text`` column follows in which each span (overlapping ones united) is replaced
-    by that string. Null or empty texts have no spans; a null text stays null. Rows that repeat have each
+    by that string. Null or empty texts have no spans; a null text stays null. No rows in, no rows out. Rows that repeat have each
     their spans; columns not in ``carry`` are ignored, and ``name`` and ``text`` must not be in it.
     """
     queries = [trigram_query(r.pattern) for r in rules]

@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, tile:
 
     Every row is a node, so a null or repeated doc_id is allowed: component_id is the smallest
     non-null doc_id of the rows reachable (null if there is none). Equal fingerprints are compared
-    once, under the fingerprint as node.
+    once, under the fingerprint as node. No rows in, no rows out.
     """
     return grouped(docs, width, radius, tile).select("doc_id", "fp", "component_id")
 

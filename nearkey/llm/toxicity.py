@@ -100,8 +100,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
 
     Rows with a null doc_id or label are not learnt from; of several labels of a document the
     largest counts. The sample (ids and labels only) has at most ``sample_rows`` rows. Scores start
-    from its rate of label 1, smoothed by ``PRIOR``, so few labels or none condemn nothing. Document rows
-    that repeat, or share a doc_id, are learnt from each; null and empty texts by the intercept alone.
+    from its rate of label 1, smoothed by ``PRIOR``, so few labels or none condemn nothing. Of document rows
+    that share a doc_id one is learnt from, the one of least text hash, so the bound holds for rows too; null and empty texts by the
+    intercept alone. Without labels or documents the model is the prior.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
@@ -110,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sh
     seen = sample.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("int")).alias("toxic")).first()
     rate = ((seen["toxic"] or 0) + PRIOR[0]) / (seen["n"] + PRIOR[1])
     base = float(np.log(rate / (1 - rate)))
-    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).alias("shard"))
+    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: dict[int, Ftrl] = {}
@@ -138,7 +140,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: t
     """``carry`` columns and ``name`` per row of ``docs(text, ..)``; an empty or null text scores as the intercept does.
 
     A row's score depends on its text alone, so repeated rows score alike; columns not in ``carry`` are
-    ignored, and ``name`` must not be one of them. A ``text`` in ``carry`` goes to the workers only once.
+    ignored, and ``name`` must not be one of them. No rows in, no rows out. A ``text`` in ``carry`` goes to the workers only once.
     """
     text = "text" if "text" in carry else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)

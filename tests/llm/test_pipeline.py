@@ -127,3 +127,14 @@ def test_a_repeated_doc_id_stays_once_in_each_group(spark):
     docs = spark.createDataFrame([(1, a), (5, a), (5, b), (5, c), (5, c), (7, c), (None, c)], "doc_id long, text string")
     got = table(corpus_pipeline.one_of_each_group(spark, docs, ""))
     assert got == [(None, c), (1, a), (5, b), (5, c)]
+
+
+def test_of_rows_alike_but_for_other_columns_the_least_stays(spark):
+    import corpus_pipeline
+
+    text = "one two three four five six"
+    rows = [(1, text, "en", "b", 9), (1, text, "en", "a", 7), (1, text, None, "z", 8), (2, text + " seven", "de", "c", 1)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, df, "").collect() if r["doc_id"] == 1]
+        assert kept == [(1, text, None, "z", 8)]
