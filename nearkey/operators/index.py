@@ -9,6 +9,8 @@ from nearkey.functions.intervals import interval_cells, number_cells
 from nearkey.functions.text import prefixes
 
 
+#: First letters within which trie nodes are numbered.
+HEAD = 3
 #: Neighbouring numbers that one window counts through: a slice of vertex ids, of positions.
 SLICE_BITS = 16
 
@@ -45,15 +47,15 @@ def trie_nodes(keywords: DataFrame) -> DataFrame:
 def trie_intervals(keywords: DataFrame) -> DataFrame:
     """``(node, id, last)``: preorder numbers from 1 and the last number of each subtree.
 
-    Numbering is two-level: within the first letter, after the counts of the letters before; the
-    only unpartitioned window runs over the letters.
+    Numbering is two-level: within the first ``HEAD`` letters, after the counts of the heads before; the only unpartitioned
+    window runs over the different heads.
     """
-    nodes = trie_nodes(keywords).select("node", F.substring("node", 1, 1).alias("letter"))
-    counts = nodes.groupBy("letter").count()
-    before = counts.select("letter", F.coalesce(F.sum("count").over(Window.orderBy("letter").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nodes = trie_nodes(keywords).select("node", F.substring("node", 1, HEAD).alias("head"))
+    counts = nodes.groupBy("head").count()
+    before = counts.select("head", F.coalesce(F.sum("count").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     below = nodes.select(F.explode(prefixes(F.col("node"))).alias("node")).groupBy("node").agg((F.count("*") - 1).alias("below"))
-    number = F.row_number().over(Window.partitionBy("letter").orderBy("node"))
-    numbered = nodes.withColumn("n", number).join(before, "letter").select("node", (F.col("n") + F.col("before")).alias("id"))
+    number = F.row_number().over(Window.partitionBy("head").orderBy("node"))
+    numbered = nodes.withColumn("n", number).join(before, "head").select("node", (F.col("n") + F.col("before")).alias("id"))
     return numbered.join(below, "node").select("node", "id", (F.col("id") + F.col("below")).alias("last"))
 
 

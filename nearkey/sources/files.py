@@ -94,7 +94,10 @@ def _binary_labels(spark: SparkSession, path: str, parse) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``labels(vertex, hub, dist)`` from 32-bit ``V`` and, a vertex, ``n`` and n pairs (hub, dist)."""
+    """``labels(vertex, hub, dist)`` from 32-bit ``V`` and, a vertex, ``n`` and n pairs (hub, dist).
+
+    A file is one row here, so of 2 GB at most; :mod:`nearkey.sources.label_files` reads larger ones in ranges.
+    """
     return _binary_labels(spark, path, _forward)
 
 
