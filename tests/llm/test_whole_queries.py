@@ -1,0 +1,125 @@
+"""Registered queries without SQL against brute force, over a table that also has texts of over a megabyte."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from nearkey.llm import line_dedup, registry, toxicity
+from pyspark.sql import functions as F
+
+from .conftest import SF
+from .test_packing_mixing import check_packing
+from .test_scans import check_secrets
+from .test_text_dedup import passages, plain_components, plain_fingerprint, plain_units
+
+SHARED = " ".join(f"shared{i * i % 7919}" for i in range(70))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Some documents of a table, two texts of more than a megabyte that share passages with them, a null and an empty one."""
+    some = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect()]
+    rng = np.random.default_rng(6)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**7, 14))
+    first = "\n\n".join(line() if i % 400 else SHARED for i in range(11_000))
+    second = "\n".join(line() for _ in range(10_500)) + "\n\n" + SHARED + " " + first[5_000:9_000] + " secret = abcdefgh1234 " + "0123456789abcdef" * 4
+    rows = [*some, (9_000, first), (9_001, second), (9_002, "start " + SHARED + " end"), (9_003, None), (9_004, "")]
+    assert min(len(first), len(second)) > 1_100_000
+    path = str(tmp_path_factory.mktemp("whole"))
+    df = spark.createDataFrame([(d, t, "en", f"s{d % 3}", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(f"{path}/documents.parquet")
+    return path, sorted(rows)
+
+
+def answers(spark, name, path):
+    return {r["doc_id"]: r.asDict() for r in registry.QUERIES[name](spark, path).collect()}
+
+
+def runs(gone):
+    return int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
+
+
+def digest(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_paragraphs_and_passages(spark, folder):
+    path, rows = folder
+    texts = [t or "" for _, t in rows]
+    flags = passages(texts, line_dedup.PASSAGE_WORDS)
+    seen = {}
+    for d, text in enumerate(texts):
+        for a, b, plain in plain_units(text, "paragraph", 1):
+            if seen.setdefault(plain, (d, a)) != (d, a):
+                flags[d][a:b] = True
+    got = answers(spark, "op1_line_dedup", path)
+    for (doc_id, text), gone in zip(rows, flags):
+        kept = "".join(c for c, g in zip(text or "", gone) if not g)
+        r = got[doc_id]
+        assert (r["n_bytes"], r["n_removed"], r["removed_chars"], r["kept_sha256"]) == (len((text or "").encode()), runs(gone), int(gone.sum()), digest(kept.encode()))
+    assert got[9_002]["n_removed"] == 1 and got[9_001]["n_removed"] >= 1
+
+
+def test_repeated_bytes(spark, folder):
+    path, rows = folder
+    texts = [(t or "").encode() for _, t in rows]
+    starts = Counter(hash(t[i : i + 200]) for t in texts for i in range(len(t) - 199))
+    got = answers(spark, "op3_suffix_dedup", path)
+    for (doc_id, _), t in zip(rows, texts):
+        change = np.zeros(len(t) + 1, np.int64)
+        for i in range(len(t) - 199):
+            if starts[hash(t[i : i + 200])] > 1:
+                change[i] += 1
+                change[i + 200] -= 1
+        gone = np.cumsum(change)[:-1] > 0
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        r = got[doc_id]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), int(gone.sum()), runs(gone), digest(kept))
+
+
+def test_fingerprints(spark, folder):
+    path, rows = folder
+    fps = [plain_fingerprint(t) for _, t in rows]
+    label = plain_components(fps)
+    least = {}
+    for (doc_id, _), k in zip(rows, label):
+        least[k] = min(doc_id, least.get(k, doc_id))
+    got = answers(spark, "op10_simhash", path)
+    assert {d: (r["fingerprint"], r["component_id"]) for d, r in got.items()} == {d: (f"{f:016x}", least[k]) for (d, _), f, k in zip(rows, fps, label)}
+
+
+def test_scans_scores_and_packing_of_long_texts(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id >= 8999 or doc_id < 9")
+    check_secrets(docs)
+    check_packing(docs)
+    # a score is that of the whole text's features, whatever the chunks
+    index = np.arange(0, 2**toxicity.BITS, 3)
+    model = (index, np.sin(index) / 50, -1.0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    weights = np.zeros(2**toxicity.BITS)
+    weights[index] = model[1]
+    for doc_id, text in rows:
+        if doc_id in got:
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            _, at = toxicity.features(data, np.array([0, len(data)]))
+            assert abs(got[doc_id] - toxicity.sigmoid(weights[np.unique(at)].sum() - 1)) < 1e-9
+
+
+def test_pages_of_over_a_megabyte(spark, tmp_path):
+    html = "<p>" + "x" * 1_200_000 + "</p>"
+    rows = [(1, "http://a.example/1", html), (2, "http://a.example/2", html), (3, "http://b.example/", html + "!"), (4, "http://b.example/4", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in registry.QUERIES["op6_warc"](spark, str(tmp_path)).collect()}
+    size = len(html)
+    assert got == {1: (size, digest(html.encode()), "response", None), 2: (size, digest(html.encode()), "revisit", 1), 3: (size + 1, digest(html.encode() + b"!"), "response", None), 4: (0, digest(b""), "response", None)}
+
+
+def test_words_of_long_texts_are_mixed_whole(spark, folder):
+    from nearkey.llm import mixing
+
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    got = {r["doc_id"]: r["size"] for r in mixing.mix(docs).select("doc_id", F.col("size")).collect()}
+    assert got == {d: len((t or "").encode().split()) for d, t in rows}
