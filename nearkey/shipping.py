@@ -1,4 +1,4 @@
-"""Makes this package importable on Python workers that were not given its path."""
+"""What every registered query runs with: the package on Python workers, and batches of one size."""
 
 from __future__ import annotations
 
@@ -12,6 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 _sent: set[str] = set()
+#: Bytes of a batch that Spark hands to a Python worker. Its own default is 64 MB, which the executor holds outside the heap and the worker again, for every core.
+BATCH_BYTES = 1 << 22
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_BYTES`` (one row at least), unless the application has set a size of its own: Spark has only a setting of the session for it."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if setting not in spark.conf.getAll:
+        spark.conf.set(setting, BATCH_BYTES)
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,6 +43,7 @@ def ship(spark: SparkSession) -> None:
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        bounded_batches(spark)  # for every query, so that none depends on which ran before
         return query(spark, sf_dir)
 
     return run
