@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from nearkey.folders import checkpointed, shared_folder, shared_path  # noqa: F401
+from nearkey.shipping import BATCH_BYTES, bounded_batches  # noqa: F401
 
 #: Bytes of text that a task's numpy work holds at a time (a longer single text goes alone): it takes some 100 bytes a byte, and an executor has several workers.
 CHUNK_BYTES = 1 << 19
-#: Bytes of a batch that Spark hands to a Python worker. Its own default is 64 MB, which the executor holds outside the heap and the worker again, for every core.
-BATCH_BYTES = 1 << 22
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
@@ -43,13 +42,8 @@ def delete(spark: SparkSession, written_to: str) -> None:
 
 
 def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow(run, schema)``, in batches of ``BATCH_BYTES`` unless the application has set a size of its own (one row at least).
-
-    Spark has only a setting of the session for it, so that is what this makes.
-    """
-    setting, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    if setting not in conf.getAll:
-        conf.set(setting, BATCH_BYTES)
+    """``df.mapInArrow(run, schema)``, in bounded batches (:func:`nearkey.shipping.bounded_batches`)."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
