@@ -162,3 +162,39 @@ def test_recall_against_brute_force_at_a_tenth(spark):
     assert sum(want.values()) >= 2 * len(table[::3])
     assert {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(df).collect()} == want
     assert sum(r["n_links"] for r in vector_dedup.near_duplicates(df, exact_rows=0).collect()) >= 0.99 * sum(want.values())
+
+
+def one_label(n, pairs, mean):
+    """``n`` unit vectors of that mean cosine, the first ``pairs`` with a partner at cosine 0.935 at the end."""
+    rng = np.random.default_rng(21)
+    v = vectors.unit(rng.standard_normal((n, 64))) * np.sqrt(1 - mean)
+    v[:, 0] += np.sqrt(mean)
+    v, side = vectors.unit(v), rng.standard_normal((pairs, 64))
+    w = v[:pairs]
+    side = vectors.unit(side - (side * w).sum(1)[:, None] * w)
+    return np.r_[v, 0.935 * w + np.sqrt(1 - 0.935**2) * side].astype(np.float32)
+
+
+def test_recall_in_a_label_beyond_the_exact_check(spark):
+    """By passes alone where they settle the label; a crowded one is checked exactly whatever its size."""
+    n, pairs = 16_000, 400
+    for mean in (0.0, 0.8):
+        v = one_label(n, pairs, mean)
+        needed = vector_dedup.passes_for(v[::33], len(v), 0.93, vector_dedup.WINDOW, vector_dedup.PASSES)
+        assert (needed <= vector_dedup.MOST_PASSES) == (mean == 0)
+        df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(4)
+        component = {r["vec_id"]: r["component_id"] for r in vector_dedup.near_duplicates(df, exact_rows=0).collect()}
+        found = sum(component[i] == component[n + i] for i in range(pairs))
+        assert found >= (0.99 * pairs if mean == 0 else pairs)
+
+
+def test_units_of_the_order_overlap(spark):
+    """Links across the ends of units are found: windows do not end at them."""
+    v = one_label(900, 200, 0.0)
+    df = spark.createDataFrame([(i, 1, 64, x.tolist()) for i, x in enumerate(v)], "node long, grp long, dim int, v array<float>")
+    plain = {tuple(r) for r in vector_dedup.candidate_edges(df, passes=2, window=2000).collect()}
+    assert {a for a, _ in plain} | {b for _, b in plain}
+    cut = {tuple(r) for r in vector_dedup.candidate_edges(df, passes=2, window=64, unit_rows=128).collect()}
+    whole = {tuple(r) for r in vector_dedup.candidate_edges(df, passes=2, window=64, unit_rows=10**6).collect()}
+    nodes = lambda edges: {x for e in edges for x in e}
+    assert nodes(cut) == nodes(whole) and len(nodes(cut)) > 50
