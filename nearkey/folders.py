@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +39,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once into the shared folder, and read from there."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """:func:`written` for tables that nothing reads once the block has ended: they are deleted then."""
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
+    try:
+        yield put
+    finally:
+        for table in made:
+            delete(table.sparkSession, table.written_to)
 
 
 def delete(spark: SparkSession, path: str) -> None:

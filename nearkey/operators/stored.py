@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkey.folders import delete, shared_path, written
+from nearkey.folders import delete, scratch, shared_path, written
 from nearkey.functions.text import deletions, prefix_edit_distance, prefixes, score, spatial
 from nearkey.operators import maintenance
 from nearkey.operators.index import hub_postings
@@ -92,33 +92,36 @@ class StoredIndex:
 
     def _change(self, name: str, changes: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         """Rewrites what ``changes(vertex, ..)`` touch of a table and of the postings; the parts of hubs that were rewritten."""
-        changes = written(changes, "changes")
-        who = changes.select(F.col("vertex").cast("long").alias("vertex")).distinct()
-        parts = self.parts_of(who, "vertex")
-        before = written(self._held(who, parts), "before")
-        columns = [c.split(" ")[0] for c in SCHEMAS[name][1].split(", ")]
-        self.write(name, written(change(self.table(name, parts).select(*columns), changes), "changed"), parts)
-        after = self._held(who, parts).withColumnRenamed("dist", "new")
-        moved = written(before.join(after, ["hub", "vertex"], "full").where("not (dist <=> new)").select("hub", "vertex", "new"), "moved")
-        touched = self.parts_of(moved, "hub")
-        if touched:
-            rest = self.table("postings", touched).select("hub", "vertex", "dist").join(moved, ["hub", "vertex"], "left_anti")
-            self._write_postings(written(rest.unionByName(moved.where("new is not null").select("hub", "vertex", F.col("new").alias("dist"))), "postings"), touched)
-        return touched
+        with scratch() as put:
+            changes = put(changes, "changes")
+            who = changes.select(F.col("vertex").cast("long").alias("vertex")).distinct()
+            parts = self.parts_of(who, "vertex")
+            before = put(self._held(who, parts), "before")
+            columns = [c.split(" ")[0] for c in SCHEMAS[name][1].split(", ")]
+            self.write(name, put(change(self.table(name, parts).select(*columns), changes), "changed"), parts)
+            after = self._held(who, parts).withColumnRenamed("dist", "new")
+            moved = put(before.join(after, ["hub", "vertex"], "full").where("not (dist <=> new)").select("hub", "vertex", "new"), "moved")
+            touched = self.parts_of(moved, "hub")
+            if touched:
+                rest = self.table("postings", touched).select("hub", "vertex", "dist").join(moved, ["hub", "vertex"], "left_anti")
+                added = moved.where("new is not null").select("hub", "vertex", F.col("new").alias("dist"))
+                self._write_postings(put(rest.unionByName(added), "postings"), touched)
+            return touched
 
     def _write_postings(self, rows: DataFrame, parts: list[int] | None = None) -> None:
-        numbered = written(hub_postings(rows, rows), "numbered")
-        self.write("postings", numbered, parts)
-        # pos + 1 is a power of two
-        self.write("steps", numbered.where("pos & (pos + 1) = 0").select("hub", "pos", "dist"), parts)
+        with scratch() as put:
+            numbered = put(hub_postings(rows, rows), "numbered")
+            self.write("postings", numbered, parts)
+            # pos + 1 is a power of two
+            self.write("steps", numbered.where("pos & (pos + 1) = 0").select("hub", "pos", "dist"), parts)
 
     def insert_keys(self, added: DataFrame) -> list[int]:
         """``added(vertex, word)``: new words go into the deletion index too."""
-        words = written(added.select(F.lower("word").alias("word")).distinct(), "words")
-        rests = written(_deletions(words, self.tau), "rests")
-        touched = self.parts_of(rests, "rest")
-        known = self.table("rests", touched).select("rest", "word")
-        self.write("rests", written(known.unionByName(rests).distinct(), "rests"), touched)
+        with scratch() as put:
+            rests = put(_deletions(added.select(F.lower("word").alias("word")), self.tau), "rests")
+            touched = self.parts_of(rests, "rest")
+            known = self.table("rests", touched).select("rest", "word")
+            self.write("rests", put(known.unionByName(rests).distinct(), "rests"), touched)
         return self._change_keys(added, maintenance.insert_keys)
 
     def delete_keys(self, gone: DataFrame) -> list[int]:
@@ -126,10 +129,11 @@ class StoredIndex:
         return self._change_keys(gone, maintenance.delete_keys)
 
     def _change_keys(self, changes: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
-        changes = written(changes.select("vertex", "word"), "keys")
-        words = self.parts_of(changes.select(F.lower("word").alias("word")), "word")
-        self.write("holders", written(change(self.table("holders", words).select("vertex", "word"), changes), "holders"), words)
-        return self._change("keywords", changes, change)
+        with scratch() as put:
+            changes = put(changes.select("vertex", "word"), "keys")
+            words = self.parts_of(changes.select(F.lower("word").alias("word")), "word")
+            self.write("holders", put(change(self.table("holders", words).select("vertex", "word"), changes), "holders"), words)
+            return self._change("keywords", changes, change)
 
     def insert_labels(self, added: DataFrame) -> list[int]:
         return self._change("labels", added.select("vertex", "hub", "dist"), maintenance.insert_labels)
@@ -145,9 +149,10 @@ def build(keywords: DataFrame, labels: DataFrame, path: str | None = None, parts
     """Writes the index of ``keywords(vertex, word)`` and ``labels(vertex, hub, dist)``; for texts of up to ``tau`` edits."""
     spark = keywords.sparkSession
     index = StoredIndex(spark, path or shared_path(spark, "index"), parts, tau)
-    lower = written(keywords.select("vertex", F.lower("word").alias("word")).distinct(), "keywords")
-    index.write("keywords", lower)
-    index.write("holders", lower)
+    with scratch() as put:
+        lower = put(keywords.select("vertex", F.lower("word").alias("word")).distinct(), "keywords")
+        index.write("keywords", lower)
+        index.write("holders", lower)
     index.write("labels", labels)
     index._write_postings(labels.join(keywords.select("vertex").distinct(), "vertex", "left_semi").select("hub", "vertex", "dist"))
     index.write("rests", _deletions(keywords, tau))
@@ -205,33 +210,35 @@ def topk(index: StoredIndex, vertex: int, text: str, k: int = 10, tau: int = 1,
     about ``GROWTH`` times those of the round before.
     """
     spark = index.spark
-    words = written(match_texts(index, spark.range(1).select(F.lit(text).alias("text")), tau).select("word", "ped"), "matched")
-    own = index.table("labels", index.parts_of(spark.range(1).select(F.lit(vertex).alias("vertex")), "vertex")).where(F.col("vertex") == vertex)
-    own = written(own.select("hub", F.col("dist").alias("own")), "own")
-    least, best = own.agg(F.min("own").alias("m")).first()["m"], words.agg(F.min("ped").alias("m")).first()["m"]
-    nothing = least is None or best is None
-    parts = [] if nothing else index.parts_of(own, "hub")
-    matches = index.table("holders", [] if nothing else index.parts_of(words, "word")).join(words, "word").groupBy("vertex").agg(F.min("ped").alias("ped"))
-    matches = written(matches, "matches")
-    some = 0.0 if tau == 0 or best is None else (1 - alpha) * best / tau
-    most, size = None, first
-    if not nothing and alpha > 0:
-        most = _reach(index, own, parts, size)
-    while True:
-        near = within(index, own, parts, least or 0, most)
-        held = near.join(matches, "vertex").withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
-        found = written(held.orderBy("score", "srd", "vertex").limit(k), "found")
-        if most is None:
-            break
-        worst = found.agg(F.count("*").alias("n"), F.max("score").alias("s")).first()
-        if worst["n"] == k:
-            # one more than the bound in exact numbers: rounding must not lose a tie
-            needed = int((worst["s"] - some) * d_max / alpha) + 1
-            if needed <= most:
+    with scratch() as put:
+        words = put(match_texts(index, spark.range(1).select(F.lit(text).alias("text")), tau).select("word", "ped"), "matched")
+        own = index.table("labels", index.parts_of(spark.range(1).select(F.lit(vertex).alias("vertex")), "vertex")).where(F.col("vertex") == vertex)
+        own = put(own.select("hub", F.col("dist").alias("own")), "own")
+        least, best = own.agg(F.min("own").alias("m")).first()["m"], words.agg(F.min("ped").alias("m")).first()["m"]
+        nothing = least is None or best is None
+        parts = [] if nothing else index.parts_of(own, "hub")
+        matches = index.table("holders", [] if nothing else index.parts_of(words, "word")).join(words, "word").groupBy("vertex").agg(F.min("ped").alias("ped"))
+        matches = put(matches, "matches")
+        some = 0.0 if tau == 0 or best is None else (1 - alpha) * best / tau
+        most, size = None, first
+        if not nothing and alpha > 0:
+            most = _reach(index, own, parts, size)
+        while True:
+            near = within(index, own, parts, least or 0, most)
+            held = near.join(matches, "vertex").withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
+            found = written(held.orderBy("score", "srd", "vertex").limit(k), "found")
+            if most is None:
                 break
-            most = needed
-        else:
-            size *= GROWTH
-            further = _reach(index, own, parts, size)
-            most = None if further is None else max(further, most + 1)
+            worst = found.agg(F.count("*").alias("n"), F.max("score").alias("s")).first()
+            if worst["n"] == k:
+                # one more than the bound in exact numbers: rounding must not lose a tie
+                needed = int((worst["s"] - some) * d_max / alpha) + 1
+                if needed <= most:
+                    break
+                most = needed
+            else:
+                size *= GROWTH
+                further = _reach(index, own, parts, size)
+                most = None if further is None else max(further, most + 1)
+            delete(spark, found.written_to)
     return found.orderBy("score", "srd", "vertex").select(*RESULT)
