@@ -146,7 +146,7 @@ def multi_ped(keywords: DataFrame, texts: list[str], tau: int) -> DataFrame:
     return each.groupBy("vertex").agg(F.sum("ped").alias("ped"), F.count("*").alias("n")).where(F.col("n") == len(texts)).drop("n")
 
 
-def _multi_score(found: DataFrame, n: int, tau: int, alpha: float, d_max: float) -> DataFrame:
+def multi_score(found: DataFrame, n: int, tau: int, alpha: float, d_max: float) -> DataFrame:
     """Ties go to the distance itself here, whatever alpha."""
     text = F.lit(0.0) if tau == 0 else F.lit(1 - alpha) * F.col("ped").cast("double") / F.lit(float(tau * n))
     return found.withColumns({"score": spatial(F.col("dist"), alpha, d_max) + text, "srd": F.col("dist").cast("double") / F.lit(float(d_max))})
@@ -154,7 +154,7 @@ def _multi_score(found: DataFrame, n: int, tau: int, alpha: float, d_max: float)
 
 def multikey_topk(keywords: DataFrame, labels: DataFrame, vertex: int, texts: list[str], k: int = 5, tau: int = 1, alpha: float = 0.5, d_max: float = 100) -> DataFrame:
     """The k best vertices that match all of ``texts``."""
-    found = _multi_score(_near(labels, vertex, multi_ped(keywords, texts, tau)), len(texts), tau, alpha, d_max)
+    found = multi_score(_near(labels, vertex, multi_ped(keywords, texts, tau)), len(texts), tau, alpha, d_max)
     return found.orderBy("score", "srd", "vertex").limit(k).select(*RESULT)
 
 
@@ -166,4 +166,4 @@ def multikey_keystroke(keywords: DataFrame, labels: DataFrame, vertex: int, text
     else:
         last = last.withColumnRenamed("last", "ped")
     found = last.join(_near(labels, vertex, last.select("vertex").distinct()), "vertex")
-    return best_per(_multi_score(found, len(texts), tau, alpha, d_max), ["step"], k)
+    return best_per(multi_score(found, len(texts), tau, alpha, d_max), ["step"], k)

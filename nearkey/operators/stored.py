@@ -8,14 +8,16 @@ Parquet tables in one folder, each partitioned by ``part``, a hash of its key:
 - ``steps(hub, pos, dist)``: the postings at positions 0, 1, 3, 7, .., by hub: how many postings a distance reaches, within a factor of 2,
 - ``rests(rest, word)`` by rest: what is left of a word's prefixes when up to ``tau`` characters are left out.
 
-:func:`topk` is exact and reads postings in rounds of growing distance. Once k places are known, their worst score is turned
-into a distance beyond which nothing can enter; one more round reads up to it, and that is the end.
+Rankings are exact and read postings in rounds of growing distance (:class:`Reach`). Once k places are known, their worst score is turned
+into a distance beyond which nothing can enter; one more round reads up to it, and that is the end. After a further keystroke
+the reading goes on where it ended.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from nearkey.folders import delete, scratch, shared_path, written
 from nearkey.functions.text import deletions, prefix_edit_distance, prefixes, score, spatial
 from nearkey.operators import maintenance
 from nearkey.operators.index import hub_postings
-from nearkey.operators.search import RESULT
+from nearkey.operators.search import RESULT, best_per, multi_score
 
 SCHEMAS = {
     "keywords": ("vertex", "vertex long, word string"),
@@ -180,65 +182,131 @@ def match_texts(index: StoredIndex, texts: DataFrame, tau: int) -> DataFrame:
     return pairs.withColumn("ped", prefix_edit_distance(F.col("text"), F.col("word"), tau)).where("ped is not null")
 
 
-def _reach(index: StoredIndex, own: DataFrame, parts: list[int], postings: int) -> int | None:
-    """A distance within which about ``postings`` of the own hubs' postings are; None: all of them are fewer."""
-    gained = index.table("steps", parts).join(own, "hub").groupBy((F.col("dist") + F.col("own")).alias("at")).agg(F.sum(F.expr("(pos + 1) div 2 + if(pos = 0, 1, 0)")).alias("n"))
-    # a window over different distances, not over postings
-    so_far = gained.selectExpr("at", "sum(n) over (order by at) as n")
-    return so_far.where(F.col("n") >= postings).agg(F.min("at").alias("at")).first()["at"]
+class Reach:
+    """What has been read of the postings around a place: all vertices up to a distance, each with its own.
+
+    A vertex's nearest common hub is among the postings whose two distances add up to no more than ``most``, so within it distances are
+    exact. Growing reads only the postings beyond what was read. ``most`` is None when all have been.
+    """
+
+    def __init__(self, index: StoredIndex, vertex: int, put: Callable[[DataFrame, str], DataFrame]):
+        self.index, self.put, spark = index, put, index.spark
+        own = index.table("labels", index.parts_of(spark.range(1).select(F.lit(vertex).alias("vertex")), "vertex")).where(F.col("vertex") == vertex)
+        self.own = put(own.select("hub", F.col("dist").alias("own")), "own")
+        self.least = self.own.agg(F.min("own").alias("m")).first()["m"]
+        self.parts = [] if self.least is None else index.parts_of(self.own, "hub")
+        self.most: int | None = -1
+        self.near = put(self.own.select(F.lit(0).cast("long").alias("vertex"), F.col("own").alias("dist")).limit(0), "near")
+
+    def distance_of(self, postings: int) -> int | None:
+        """A distance within which about so many postings of the own hubs are; None: all of them are fewer."""
+        steps = self.index.table("steps", self.parts).join(self.own, "hub")
+        gained = steps.groupBy((F.col("dist") + F.col("own")).alias("at")).agg(F.sum(F.expr("(pos + 1) div 2 + if(pos = 0, 1, 0)")).alias("n"))
+        # a window over different distances, not over postings
+        so_far = gained.selectExpr("at", "sum(n) over (order by at) as n")
+        return so_far.where(F.col("n") >= postings).agg(F.min("at").alias("at")).first()["at"]
+
+    def grow(self, most: int | None) -> None:
+        further = between(self.index, self.own, self.parts, self.least or 0, self.most, most)
+        self.near = self.put(self.near.unionByName(further.join(self.near.select("vertex"), "vertex", "left_anti")), "near")
+        self.most = most
 
 
-def within(index: StoredIndex, own: DataFrame, parts: list[int], least: int, most: float | None) -> DataFrame:
-    """``(vertex, dist)`` of all vertices at most so far by their nearest own hub; exact for each of them.
+def between(index: StoredIndex, own: DataFrame, parts: list[int], least: int, beyond: int, most: int | None) -> DataFrame:
+    """``(vertex, dist)`` by the postings that are farther than ``beyond`` and at most ``most`` away (None: all).
 
     ``own(hub, own)`` are the labels of a place, ``least`` their least distance, which bounds what pages are read.
     """
     rows = index.table("postings", parts)
     if most is not None:
         rows = rows.where(F.col("dist") <= F.lit(int(most) - least))
-    near = rows.select("hub", "vertex", "dist").join(own, "hub").select("vertex", (F.col("dist") + F.col("own")).alias("dist"))
+    near = rows.select("hub", "vertex", "dist").join(own, "hub").select("vertex", (F.col("dist") + F.col("own")).alias("dist")).where(F.col("dist") > beyond)
     if most is not None:
         near = near.where(F.col("dist") <= F.lit(int(most)))
     return near.groupBy("vertex").agg(F.min("dist").alias("dist"))
 
 
+def _ranked(reach: Reach, matches: DataFrame, rate: Callable[[DataFrame], DataFrame], some: float, k: int, alpha: float, d_max: float, first: int) -> DataFrame:
+    """The k best of ``matches(vertex, ped)`` by (score, srd, vertex), ``rate`` adding these; no score is below its spatial part and ``some``."""
+    size = first
+    if alpha == 0 and reach.most is not None:
+        reach.grow(None)
+    elif reach.most == -1:
+        reach.grow(reach.distance_of(size))
+    while True:
+        found = written(rate(reach.near.join(matches, "vertex")).orderBy("score", "srd", "vertex").limit(k), "found")
+        if reach.most is None:
+            return found
+        worst = found.agg(F.count("*").alias("n"), F.max("score").alias("s")).first()
+        if worst["n"] == k:
+            # one more than the bound in exact numbers: rounding must not lose a tie
+            needed = int((worst["s"] - some) * d_max / alpha) + 1
+            if needed <= reach.most:
+                return found
+            reach.grow(needed)
+        else:
+            further = reach.most
+            while further is not None and further <= reach.most:
+                size *= GROWTH
+                further = reach.distance_of(size)
+            reach.grow(further)
+        delete(reach.index.spark, found.written_to)
+
+
+def _holders(index: StoredIndex, words: DataFrame) -> DataFrame:
+    return index.table("holders", index.parts_of(words, "word")).select("word", "vertex").join(words, "word")
+
+
 def topk(index: StoredIndex, vertex: int, text: str, k: int = 10, tau: int = 1, alpha: float = 0.5, d_max: float = 100, first: int = FIRST) -> DataFrame:
     """The k best ``(vertex, dist, ped, score)``, those of :func:`nearkey.operators.search.topk`.
 
-    Within a distance every vertex's own distance is known, since its nearest hub is among the postings read; beyond it no
-    score is below the bound made of that distance and the least edit distance of any word. Postings of a round of growth are at most
-    about ``GROWTH`` times those of the round before.
+    Postings of a round of growth are at most about ``GROWTH`` times those of the round before.
     """
-    spark = index.spark
+    found = keystroke_topk(index, vertex, text, k, tau, alpha, d_max, first, steps=[text])
+    return found.orderBy("rank").select(*RESULT)
+
+
+def keystroke_topk(index: StoredIndex, vertex: int, text: str, k: int = 5, tau: int = 1, alpha: float = 0.5, d_max: float = 100, first: int = FIRST, steps: list[str] | None = None) -> DataFrame:
+    """The k best after every keystroke, ``(step, rank, vertex, dist, ped, score)``: those of :func:`nearkey.operators.search.keystroke_topk`.
+
+    A step goes on from the one before: words that are out stay out, so the index of words is asked once and each step filters what is left;
+    and the postings read stay read, so a step only reads on where its k-th score allows vertices beyond them. ``steps`` are the texts to
+    rank, each a beginning of the next (default: all beginnings of ``text``).
+    """
+    spark, every = index.spark, []
+    steps = [text[:i] for i in range(1, len(text) + 1)] if steps is None else steps
     with scratch() as put:
-        words = put(match_texts(index, spark.range(1).select(F.lit(text).alias("text")), tau).select("word", "ped"), "matched")
-        own = index.table("labels", index.parts_of(spark.range(1).select(F.lit(vertex).alias("vertex")), "vertex")).where(F.col("vertex") == vertex)
-        own = put(own.select("hub", F.col("dist").alias("own")), "own")
-        least, best = own.agg(F.min("own").alias("m")).first()["m"], words.agg(F.min("ped").alias("m")).first()["m"]
-        nothing = least is None or best is None
-        parts = [] if nothing else index.parts_of(own, "hub")
-        matches = index.table("holders", [] if nothing else index.parts_of(words, "word")).join(words, "word").groupBy("vertex").agg(F.min("ped").alias("ped"))
-        matches = put(matches, "matches")
-        some = 0.0 if tau == 0 or best is None else (1 - alpha) * best / tau
-        most, size = None, first
-        if not nothing and alpha > 0:
-            most = _reach(index, own, parts, size)
-        while True:
-            near = within(index, own, parts, least or 0, most)
-            held = near.join(matches, "vertex").withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
-            found = written(held.orderBy("score", "srd", "vertex").limit(k), "found")
-            if most is None:
-                break
-            worst = found.agg(F.count("*").alias("n"), F.max("score").alias("s")).first()
-            if worst["n"] == k:
-                # one more than the bound in exact numbers: rounding must not lose a tie
-                needed = int((worst["s"] - some) * d_max / alpha) + 1
-                if needed <= most:
-                    break
-                most = needed
+        reach = Reach(index, vertex, put)
+        words = None
+        for step, typed in enumerate(steps, 1):
+            if words is None:
+                words = match_texts(index, spark.range(1).select(F.lit(typed).alias("text")), tau).select("word", "ped")
             else:
-                size *= GROWTH
-                further = _reach(index, own, parts, size)
-                most = None if further is None else max(further, most + 1)
-            delete(spark, found.written_to)
+                words = words.select("word", prefix_edit_distance(F.lit(typed), F.col("word"), tau).alias("ped")).where("ped is not null")
+            words = put(words, "words")
+            best = words.agg(F.min("ped").alias("m")).first()["m"]
+            if best is None or reach.least is None:
+                break
+            matches = put(_holders(index, words).groupBy("vertex").agg(F.min("ped").alias("ped")), "matches")
+            rate = lambda rows: rows.withColumns({"score": score(F.col("dist"), F.col("ped"), tau, alpha, d_max), "srd": spatial(F.col("dist"), alpha, d_max)})
+            every.append(_ranked(reach, matches, rate, 0.0 if tau == 0 else (1 - alpha) * best / tau, k, alpha, d_max, first).withColumn("step", F.lit(step)))
+    if not every:
+        return spark.createDataFrame([], "step int, rank int, vertex long, dist int, ped int, score double")
+    return best_per(reduce(DataFrame.unionByName, every), ["step"], k)
+
+
+def multikey_topk(index: StoredIndex, vertex: int, texts: list[str], k: int = 5, tau: int = 1, alpha: float = 0.5, d_max: float = 100, first: int = FIRST) -> DataFrame:
+    """The k best vertices that match all of ``texts``: those of :func:`nearkey.operators.search.multikey_topk`."""
+    spark = index.spark
+    with scratch() as put:
+        reach = Reach(index, vertex, put)
+        asked = put(spark.createDataFrame([(t.lower(),) for t in texts], "text string").groupBy("text").agg(F.count("*").alias("times")), "texts")
+        words = put(match_texts(index, asked.select("text"), tau).join(asked, "text"), "words")
+        each = _holders(index, words).groupBy("vertex", "text", "times").agg(F.min("ped").alias("ped"))
+        matches = put(each.groupBy("vertex").agg(F.sum(F.col("ped") * F.col("times")).alias("ped"), F.sum("times").alias("n")).where(F.col("n") == len(texts)).drop("n"), "matches")
+        best = matches.agg(F.min("ped").alias("m")).first()["m"]
+        if best is None or reach.least is None:
+            return spark.createDataFrame([], "vertex long, dist int, ped long, score double")
+        some = 0.0 if tau == 0 else (1 - alpha) * best / (tau * len(texts))
+        found = _ranked(reach, matches, lambda rows: multi_score(rows, len(texts), tau, alpha, d_max), some, k, alpha, d_max, first)
     return found.orderBy("score", "srd", "vertex").select(*RESULT)

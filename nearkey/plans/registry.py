@@ -527,6 +527,19 @@ _stored("topk_stored")
 _stored("topk_stored_tau2", text="wodgt", tau=2)
 
 
+@_query("keystroke_stored", _KEYSTROKES)
+def _(spark, sf_dir):
+    """The ranking after every keystroke over a stored index: each step goes on from what the one before has read."""
+    m = star_model(spark, sf_dir)
+    return _rounded(stored.keystroke_topk(stored.build(m.keywords, m.labels, tau=1), Q, "widgt"))
+
+
+@_query("multikey_stored", ORACLE_SQL["multikey_topk"])
+def _(spark, sf_dir):
+    m = star_model(spark, sf_dir)
+    return _rounded(stored.multikey_topk(stored.build(m.keywords, m.labels, tau=1), Q, ["smal", "brand"], tau=1))
+
+
 @_query("stored_changes", f"""WITH {MODEL}, k AS (
   SELECT vertex, word FROM vertex_keywords WHERE vertex % 40 <> 3 UNION SELECT DISTINCT vertex, 'quokka' FROM vertex_keywords WHERE vertex % 50 = 4
 ), l AS (

@@ -35,6 +35,24 @@ def test_ranking_equals_the_one_from_scratch(model, kept, options, first):
 
 def test_a_place_without_labels_has_no_ranking(kept):
     assert ranked(stored.topk(kept, 10**9, "wid")) == []
+    assert ranked(stored.keystroke_topk(kept, 10**9, "wid")) == ranked(stored.multikey_topk(kept, 10**9, ["wid"])) == []
+
+
+@pytest.mark.parametrize("options", [{"text": "widgt"}, {"text": "smxll", "tau": 2, "alpha": 0.9}, {"text": "bolzz", "tau": 0}, {"text": "bran", "alpha": 0.0, "k": 3}])
+@pytest.mark.parametrize("first", [1, 300])
+def test_keystrokes_go_on_from_the_step_before(model, kept, options, first, monkeypatch):
+    read, plain = [], stored.between
+    monkeypatch.setattr(stored, "between", lambda *a: read.append(a[-2:]) or plain(*a))
+    got = {tuple(r) for r in stored.keystroke_topk(kept, 7, first=first, **options).select("step", "rank", *search.RESULT).collect()}
+    assert got == {tuple(r) for r in search.keystroke_topk(model.keywords, model.labels, 7, **options).select("step", "rank", *search.RESULT).collect()}
+    # no posting is read twice
+    assert [a for a, _ in read] == [-1, *[b for _, b in read[:-1]]] and None not in [b for _, b in read[:-1]]
+
+
+@pytest.mark.parametrize("texts,tau,alpha", [(["smal", "brand"], 1, 0.5), (["small", "bra"], 0, 0.5), (["smal", "brand", "wigd"], 2, 0.8), (["smal", "Smal"], 1, 0.3), (["smal", "zzzz"], 1, 0.5), (["wid"], 1, 0.0)])
+def test_several_keywords(model, kept, texts, tau, alpha):
+    for first in (1, 500):
+        assert ranked(stored.multikey_topk(kept, 7, texts, tau=tau, alpha=alpha, first=first)) == ranked(search.multikey_topk(model.keywords, model.labels, 7, texts, tau=tau, alpha=alpha))
 
 
 def test_texts_match_as_without_the_index(spark, model, kept):
@@ -72,11 +90,11 @@ def test_a_bound_on_the_distance_reads_fewer_postings(spark, monkeypatch):
     kept = stored.build(keywords, labels, parts=2)
     own = labels.where("vertex = 5").select("hub", F.col("dist").alias("own"))
     least, parts = own.agg(F.min("own")).first()[0], kept.parts_of(own, "hub")
-    every, some = _read(stored.within(kept, own, parts, least, None)), _read(stored.within(kept, own, parts, least, least + 40))
+    every, some = _read(stored.between(kept, own, parts, least, -1, None)), _read(stored.between(kept, own, parts, least, -1, least + 40))
     assert some < every / 4
     bounds = []
-    plain = stored.within
-    monkeypatch.setattr(stored, "within", lambda *a: bounds.append(a[-1]) or plain(*a))
+    plain = stored.between
+    monkeypatch.setattr(stored, "between", lambda *a: bounds.append(a[-1]) or plain(*a))
     got = ranked(stored.topk(kept, 5, "wid", k=5, d_max=1000, first=64))
     assert got == ranked(search.topk(keywords, labels, 5, "wid", k=5, d_max=1000))
     assert None not in bounds and bounds[-1] < 500 and len(bounds) <= 3
