@@ -114,3 +114,15 @@ def test_probes_are_joined_by_cells(spark, model):
     want = {(p["letter"], p["depth"], p["low"], n["node"], n["id"]) for p in probes.collect() for n in nodes if n["node"][-1] == p["letter"] and len(n["node"]) == p["depth"] and p["low"] <= n["id"] <= p["high"]}
     got = [(r["letter"], r["depth"], r["low"], r["node"], r["id"]) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_cells_are_merged_and_only_those_asked_for(spark, model):
+    """Exploded rows are larger than the planner takes them for: they must not be broadcast through the driver."""
+    intervals = index.trie_intervals(model.keywords)
+    probes = intervals.selectExpr("node as under", "id as low", "last as high", "length(node) + 1 as depth", "'e' as letter")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = index.level_index_probe(model.keywords, probes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert any("SortMergeJoin" in line and "cell" in line for line in plan.splitlines())
