@@ -126,3 +126,30 @@ def test_cells_are_merged_and_only_those_asked_for(spark, model):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert any("SortMergeJoin" in line and "cell" in line for line in plan.splitlines())
+
+
+def test_ranks_positions_and_covers_of_many_chunks(spark):
+    """Hubs of over 2,048 positions, so several blocks of chunks, and a branch that is its node's own parent."""
+    rng = random.Random(3)
+    words = ["a", "ab", "abcd", "abce", "x", "xyz", "q"]
+    keywords = sorted({(v, rng.choice(words)) for v in range(2600) for _ in range(2)})
+    labels = [(v, h, rng.randint(1, 9)) for v in range(2600) for h in (0, 1) if h == 0 or v % 50 == 0]
+    keywords, labels = spark.createDataFrame(keywords, "vertex long, word string"), spark.createDataFrame(labels, "vertex long, hub long, dist int")
+    sets = {k: sorted(v) for k, v in plain_sets(labels, keywords).items()}
+    sets |= {(h, ""): list(range(n)) for h, n in ((0, 2600), (1, 52))}
+    want = {(h, node, pos, sets[h, node[:-1]].index(pos)) for (h, node), own in sets.items() if node for pos in own}
+    assert set(map(tuple, index.rank_in_parent(labels, keywords).select("hub", "node", "pos", "rank").collect())) == want
+    got = {(r["hub"], r["node"]): list(r["positions"]) for r in index.hub_node_positions(labels, keywords).collect()}
+    assert got == {k: v for k, v in sets.items() if k[1]}
+    covers = {(h, node) for h, node in got if not any(g == h and other != node and other.startswith(node) for g, other in got)}
+    assert set(map(tuple, index.covering_nodes(labels, keywords).collect())) == covers
+
+
+def test_prefixes_are_not_broadcast(spark, model):
+    """Without run-time statistics the planner takes them for as small as the parts."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = index.hub_node(model.labels, model.keywords)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert not any("BroadcastHashJoin [vertex" in line for line in plan.splitlines())
