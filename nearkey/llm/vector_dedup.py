@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by sorted projection passes, with an exact check of labels that passes cannot settle.
+"""Embedding near-duplicates by sorted projection passes, followed by an exact check of every label.
 
 Every pass gives each vector the concatenated signs of random projections and orders the vectors of a label by that string;
 neighbours in the order are compared in double, and verified pairs are united across passes. Codes travel without their
@@ -9,8 +9,8 @@ throughout. Passes need only connect what belongs together (a tile returns a spa
 vector are then counted exactly inside its component, large components in tile pairs.
 
 The number of passes follows from the label's size and the angles in a sample of it, so that the expected share of missed
-pairs at the threshold stays ``MISSED`` at most, up to ``MOST_PASSES``. An exact check follows in labels that would need more, whatever
-their size, and in those of at most ``EXACT_ROWS`` different vectors: all pairs of tiles, where a vector is copied as often as the label has tiles.
+pairs at the threshold stays ``MISSED`` at most, up to ``MOST_PASSES``. An exact check follows in every label, whatever its size: all
+pairs of tiles, where a vector is copied as often as the label has tiles. So the result does not rest on the passes.
 """
 
 from __future__ import annotations
@@ -33,10 +33,8 @@ BITS = 63
 WINDOW = 128
 #: Rows of the order that a task compares, besides the window before them.
 UNIT = 16_384
-#: Passes that a label gets; one that needs more is checked exactly after them.
+#: Passes that a label gets at most.
 MOST_PASSES = 32
-#: Labels of so many different vectors are checked exactly in any case.
-EXACT_ROWS = 131_072
 #: Rows of a tile of the exact check; smaller labels have up to 16 smaller tiles.
 EXACT_TILE = 8192
 EXACT_TILES = 16
@@ -203,12 +201,13 @@ def count_links(members: DataFrame, least: float = COSINE, tile: int = COUNT_TIL
     return found.groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def near_duplicates(vectors: DataFrame, least: float = COSINE, passes: int = PASSES, window: int = WINDOW, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = COSINE, passes: int = PASSES, window: int = WINDOW, exact_rows: int | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` per row of ``vectors(vec_id, embedding, label)``.
 
     Unusable vectors, and rows without a label, link with nothing: no links, their own component.
     Rows without a vec_id link with nothing, their component is null and they are not kept. Rows that
     share vec_id are one node of the components. Only vectors of one label and dimension compare. No rows in, no rows out.
+    All labels are checked exactly; with ``exact_rows`` only those of so many different vectors at most and those that passes do not settle.
     """
     rows = usable(vectors.where("label is not null"), F.col("label").cast("long").alias("grp"))
     nodes = materialised(rows.groupBy("grp", "dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "nodes")
@@ -218,7 +217,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, passes: int = PAS
     sizes = materialised(nodes.groupBy("grp", "dim").agg(F.count("*").alias("size")), "label-sizes")
     labels = label_passes(nodes, sizes, least, passes, window)
     edges = candidate_edges(nodes.join(labels.select("grp", "dim", "passes"), ["grp", "dim"]), least, passes, window)
-    check = labels.where((F.col("size") <= exact_rows) | ~F.col("settled")).select("grp", "dim", "size")
+    some = F.lit(True) if exact_rows is None else (F.col("size") <= exact_rows) | ~F.col("settled")
+    check = labels.where(some).select("grp", "dim", "size")
     edges = edges.unionByName(exact_edges(nodes, check, least))
     component = materialised(connected_components(edges.unionByName(twice)), "components")
     linked = materialised(count_links(nodes.join(component, "node"), least), "linked")

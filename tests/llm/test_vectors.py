@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 from nearkey.llm import neighbours, vector_dedup, vectors
 
@@ -198,3 +200,14 @@ def test_units_of_the_order_overlap(spark):
     whole = {tuple(r) for r in vector_dedup.candidate_edges(df, passes=2, window=64, unit_rows=10**6).collect()}
     nodes = lambda edges: {x for e in edges for x in e}
     assert nodes(cut) == nodes(whole) and len(nodes(cut)) > 50
+
+
+def test_every_label_is_checked_exactly(spark, monkeypatch):
+    """By default nothing rests on the passes, at no size of a label: here they find nothing and claim to be enough."""
+    assert inspect.signature(vector_dedup.near_duplicates).parameters["exact_rows"].default is None
+    v = crowded(900, 60)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(vector_dedup.label_passes, "__defaults__", (10**6,))
+    monkeypatch.setattr(vector_dedup, "candidate_edges", lambda nodes, *_: nodes.selectExpr("node as a", "node as b").limit(0))
+    got = np.array([r[1] for r in rows(vector_dedup.near_duplicates(df))])
+    assert (got == links_of(v)).all() and got.sum() > 0
