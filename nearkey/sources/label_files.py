@@ -19,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from nearkey.folders import delete, scratch, shared_path, tasks_for
+
 RANGE_BYTES = 32 << 20
 SCHEMA = "vertex int, hub int, dist int"
 OUT, FORWARD = ".out", ".labelForward"
@@ -232,25 +234,81 @@ def write_forward(labels: DataFrame, path: str) -> None:
     rows.repartitionByRange("vertex").sortWithinPartitions("vertex", "dist", "hub").write.format("label_files").option("form", FORWARD).mode("append").save(path)
 
 
-def write_out(labels: DataFrame, path: str) -> None:
-    """``labels`` as one ``.out`` file: vertices have no ids there but their order, so one task writes it, a vertex at a time."""
-    from pyspark.sql import functions as F
+def _segment(rows: Iterator[pa.RecordBatch], path: str) -> tuple[int, int] | None:
+    """``rows(vertex, hub, dist)`` sorted by vertex as a piece of an ``.out`` file, from its first vertex to its last, which are returned."""
+    store, at = _place(path)
+    first = last = None
+    held: list[np.ndarray] = []  # pairs of the last vertex, whose number stands before them
+    with store.open_output_stream(at) as file:
+
+        def close() -> None:
+            pairs = np.concatenate(held)
+            file.write(np.r_[len(pairs), pairs.ravel()].astype("<i4").tobytes())
+            held.clear()
+
+        for batch in rows:
+            vertex, hub, dist = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vertex", "hub", "dist"))
+            pairs = np.stack([hub, dist], 1)
+            begins = np.flatnonzero(np.r_[True, vertex[1:] != vertex[:-1]]) if len(vertex) else []
+            for begin, end in zip(begins, [*begins[1:], len(vertex)]):
+                now = int(vertex[begin])
+                if last is not None and now != last:
+                    close()
+                    file.write(bytes(4 * (now - last - 1)))  # vertices between have no pairs
+                first, last = now if first is None else first, now
+                held.append(pairs[begin:end])
+        if held:
+            close()
+    return None if first is None else (first, last)
+
+
+def _joined(segments: list[tuple[str, int, int]], vertices: int, path: str) -> None:
+    """The ``.out`` file of ``segments`` in order, copied a block at a time."""
+    store, at = _place(path)
+    store.create_dir(posixpath.dirname(at), recursive=True)
+    following = 0
+    with store.open_output_stream(at) as file:
+        file.write(np.array([vertices], "<i4").tobytes())
+        for place, first, last in segments:
+            file.write(bytes(4 * (first - following)))
+            piece, name = _place(place)
+            with piece.open_input_stream(name) as part:
+                while block := part.read(BLOCK):
+                    file.write(block)
+            following = last + 1
 
-    lists = labels.groupBy(F.col("vertex").cast("int").alias("vertex")).agg(F.sort_array(F.collect_list(F.struct(F.col("dist").cast("int").alias("dist"), F.col("hub").cast("int").alias("hub")))).alias("own"))
-    last = labels.agg(F.max("vertex").alias("v")).first()["v"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = _place(path)
-        store.create_dir(posixpath.dirname(at), recursive=True)
-        vertices = 0
-        with store.open_output_stream(at) as file:
-            file.write(np.array([0 if last is None else last + 1], "<i4").tobytes())
-            for batch in batches:
-                for vertex, own in zip(batch.column("vertex").to_pylist(), batch.column("own")):
-                    dist, hub = (own.values.field(c).to_numpy() for c in ("dist", "hub"))
-                    file.write(np.zeros(vertex - vertices, "<i4").tobytes())
-                    file.write(np.r_[len(hub), np.stack([hub, dist], 1).ravel()].astype("<i4").tobytes())
-                    vertices = vertex + 1
-        yield pa.RecordBatch.from_arrays([pa.array([vertices], pa.int32())], ["vertices"])
-
-    lists.repartition(1).sortWithinPartitions("vertex").mapInArrow(run, "vertices int").collect()
+def write_out(labels: DataFrame, path: str) -> None:
+    """``labels`` as one ``.out`` file: vertices have no ids there but their order.
+
+    Tasks sort and write ranges of vertices as pieces beside the file, and one task joins their bytes; no task holds more than a range.
+    """
+    spark = labels.sparkSession
+    # as a scratch table, which tells how many rows there are
+    with scratch() as put:
+        rows = put(labels.selectExpr("cast(vertex as int) as vertex", "cast(hub as int) as hub", "cast(dist as int) as dist"), "out")
+        pieces = shared_path(spark, "pieces")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            store, at = _place(pieces)
+            store.create_dir(at, recursive=True)
+            place = posixpath.join(pieces, f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}")
+            ends = _segment(batches, place)
+            if ends:
+                yield pa.RecordBatch.from_pydict({"place": [place], "first": pa.array([ends[0]], pa.int32()), "last": pa.array([ends[1]], pa.int32())})
+
+        dealt = rows.repartitionByRange(tasks_for(spark, rows.count()), "vertex").sortWithinPartitions("vertex", "dist", "hub")
+        segments_of = put(dealt.mapInArrow(write, "place string, first int, last int"), "segments")
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            segments = [(r["place"], r["first"], r["last"]) for batch in batches for r in batch.to_pylist() if r["place"]]
+            vertices = segments[-1][2] + 1 if segments else 0
+            _joined(segments, vertices, path)
+            yield pa.RecordBatch.from_arrays([pa.array([vertices], pa.int32())], ["vertices"])
+
+        # a row a piece, and one more, so that the file of an empty table is written too
+        one = spark.range(1).selectExpr("cast(null as string) as place", "-1 as first", "-1 as last")
+        segments_of.unionByName(one).repartition(1).sortWithinPartitions("first").mapInArrow(join, "vertices int").collect()
+        delete(spark, pieces)

@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from nearkey import folders
 from nearkey.sources import files, label_files
 from nearkey.sources.tables import star_model
 from pyspark.sql import functions as F
@@ -75,3 +76,19 @@ def test_written_files_are_read_back(spark, tmp_path):
     assert rows(label_files.read(spark, str(tmp_path / "x" / "labels.out"), ".out", 1000)) == rows(shifted)
     with pytest.raises(Exception, match="cannot hold a distance of 0"):
         label_files.write_forward(spark.createDataFrame([(1, 2, 0)], "vertex int, hub int, dist int"), str(tmp_path / "no"))
+
+
+def test_pieces_are_joined_in_order(spark, tmp_path, monkeypatch):
+    """Several pieces, with vertices without labels inside and between them, and none at all."""
+    monkeypatch.setattr(folders, "TASK_ROWS", 3)
+    place = str(tmp_path / "x" / "labels.out")
+    label_files.write_out(spark.createDataFrame(sorted(ROWS)[::-1], "vertex int, hub int, dist int"), place)
+    want = struct.pack("<i", 7)
+    for vertex in range(7):
+        pairs = sorted((d, h) for h, d in LABELS.get(vertex, []))
+        want += struct.pack(f"<{1 + 2 * len(pairs)}i", len(pairs), *[x for d, h in pairs for x in (h, d)])
+    assert (tmp_path / "x" / "labels.out").read_bytes() == want
+    label_files.write_out(spark.createDataFrame([], "vertex int, hub int, dist int"), place)
+    assert (tmp_path / "x" / "labels.out").read_bytes() == struct.pack("<i", 0)
+    rows_of = [len(pairs) for pairs in LABELS.values()]
+    assert folders.tasks_for(spark, sum(rows_of)) > 4
