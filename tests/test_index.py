@@ -129,7 +129,7 @@ def test_cells_are_merged_and_only_those_asked_for(spark, model):
 
 
 def test_ranks_positions_and_covers_of_many_chunks(spark):
-    """Hubs of over 2,048 positions, so several blocks of chunks, and a branch that is its node's own parent."""
+    """Hubs of over 2,048 positions, and a branch that is its node's own parent."""
     rng = random.Random(3)
     words = ["a", "ab", "abcd", "abce", "x", "xyz", "q"]
     keywords = sorted({(v, rng.choice(words)) for v in range(2600) for _ in range(2)})
