@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 from nearkey.operators import index as derived
+from nearkey import folders
 from nearkey.operators import maintenance, search, stored
 from nearkey.sources.tables import star_model
 from pyspark.sql import functions as F
@@ -146,3 +147,11 @@ def test_positions_and_steps(kept):
 def test_postings_are_those_of_the_derived_index(model, kept):
     want = derived.hub_postings(model.labels, model.keywords).select("hub", "vertex", "dist", "pos")
     assert {tuple(r) for r in kept.table("postings").select("hub", "vertex", "dist", "pos").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_holders_of_a_frequent_word_are_files_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(folders, "TASK_ROWS", 100)
+    index = stored.StoredIndex(spark, folders.shared_path(spark, "index"), 2)
+    index.write("holders", spark.range(1000).selectExpr("id as vertex", "'often' as word"))
+    sizes = [r["count"] for r in index.table("holders").groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 500
