@@ -153,3 +153,36 @@ def test_prefixes_are_not_broadcast(spark, model):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert not any("BroadcastHashJoin [vertex" in line for line in plan.splitlines())
+
+
+def test_ranks_are_summed_where_a_hub_is(spark, model):
+    """Of the postings' size there is one shuffle, by hub; what follows in the hub's task is not dealt again."""
+    from nearkey.plans import registry
+
+    labels = model.labels.count()
+    assert shuffled(registry.QUERIES["rank_in_parent"](spark, SF)) < 2 * labels
+
+
+@pytest.mark.parametrize("hot", [20, 1 << 18])
+def test_small_and_hot_hubs_have_the_same_sets_and_ranks(spark, monkeypatch, hot):
+    rng = random.Random(3)
+    words = ["car", "card", "care", "cat", "dog", "dogma", "x", "ab", "abc"]
+    pairs = sorted({(v, h) for h, size in ((0, 150), (1, 30), (2, 5)) for v in range(size)})
+    labels = spark.createDataFrame([(v, h, rng.randint(1, 4)) for v, h in pairs], "vertex long, hub long, dist int")
+    keywords = spark.createDataFrame(sorted({(v, rng.choice(words)) for v in range(140) for _ in range(3)}), "vertex long, word string")
+    monkeypatch.setattr(index, "HOT_ROWS", hot)
+    monkeypatch.setattr(index, "SLICE_BITS", 4)
+    sets = plain_sets(labels, keywords)
+    own = {}
+    for r in index.hub_postings(labels, keywords).collect():
+        own.setdefault(r["hub"], set()).add(r["pos"])
+    want, sums = set(), {}
+    for (hub, node), positions in sets.items():
+        among = sorted(own[hub] if len(node) == 1 else sets[hub, node[:-1]])
+        ranks = {p: among.index(p) for p in positions}
+        want |= {(hub, node, p, r) for p, r in ranks.items()}
+        sums[hub, node] = (len(ranks), min(ranks.values()), max(ranks.values()), sum(ranks.values()), sum((p + 1) * (r + 1) for p, r in ranks.items()))
+    assert set(map(tuple, index.rank_in_parent(labels, keywords).select("hub", "node", "pos", "rank").collect())) == want
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in index.rank_sums_in_parent(labels, keywords).collect()} == sums
+    assert {(r["hub"], r["node"]): r["positions"] for r in index.hub_node_positions(labels, keywords).collect()} == {k: sorted(v) for k, v in sets.items()}
+    assert {(r["hub"], r["node"]): (r["ones"], r["first_pos"], r["last_pos"]) for r in index.hub_node_popcount(labels, keywords).collect()} == {k: (len(v), min(v), max(v)) for k, v in sets.items()}
